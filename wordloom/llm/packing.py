@@ -16,7 +16,6 @@ import re
 import unicodedata
 from bisect import bisect_left, insort
 
-import numpy as np
 import pyarrow as pa
 import regex
 from pyspark import TaskContext
@@ -25,73 +24,69 @@ from pyspark.sql import functions as F
 
 from .shared import Scratch
 
-#: Entries that a worker's tables of words may hold; a full table starts afresh.
-WORDS = 300_000
-#: Pieces encoded in one call.
-CALL = 256
+#: Entries that a worker's table of words may hold; a full table starts afresh.
+WORDS = 600_000
 PIECE = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
 
 
 class WordBPE:
-    """A tokenizers file whose words end in a marked token, encoded by distinct words.
+    """A tokenizers file with byte-level words, encoded by distinct words.
 
     Texts are cut at spaces and line ends, which no token of such a vocabulary
-    spans; every distinct piece goes through the library once while it is held.
+    spans. Words are normalised and split here and merged by the library's
+    model; those with unusual characters go through the library whole.
     """
 
-    #: Characters that every version of Unicode takes for the same kind; words with others go through the library whole.
-    KNOWN = re.compile("[\x21-\u052f\u2010-\u2027\u2030-\u205e\u3041-\u3096\u30a1-\u30fa\u4e00-\u9fa5\uac00-\ud7a3]*").fullmatch
+    #: Characters that every version of Unicode takes for the same kind, also in lower case.
+    KNOWN = re.compile("[\x21-\x7e\xa1-\u012f\u0131-\u052f\u2010-\u2027\u2030-\u205e\u3041-\u3096\u30a1-\u30fa\u4e00-\u9fa5\uac00-\ud7a3]*").fullmatch
     PARTS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+").findall
+    #: The characters that stand for bytes: printable ones for themselves, the others counted on from 256.
+    BYTES = dict(zip([b for b in range(256) if not (33 <= b < 127 or 161 <= b < 173 or b >= 174)], range(256, 512)))
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer, normalizers
-
-        self.full, self.bare = Tokenizer.from_file(path), Tokenizer.from_file(path)
-        self.full.encode_special_tokens = self.bare.encode_special_tokens = True
-        self.bare.normalizer = normalizers.Sequence([])
-        vocab = self.bare.get_vocab(with_added_tokens=False)
-        self.ends = np.zeros(max(vocab.values()) + 1, bool)
-        self.ends[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
+        from tokenizers import Tokenizer
+
+        self.full = Tokenizer.from_file(path)
+        self.full.encode_special_tokens = True
+        self.merge = self.full.model.tokenize
+        self.raw = [i.to_bytes(4, "little") for i in range(max(self.full.get_vocab().values()) + 1)]
+        self.marks = {c: self.part(c) for c in ".,;:!?"}
         self.words: dict[str, bytes] = {}
-        self.parts: dict[str, bytes] = {}
 
-    @staticmethod
-    def normal(word: str) -> str:
+    def part(self, part: str) -> bytes:
+        raw = self.raw
+        return b"".join([raw[t.id] for t in self.merge(part if part.isascii() else part.encode().decode("latin1").translate(self.BYTES))])
+
+    def word(self, word: str) -> bytes:
         if word.isascii():
-            return word.lower()
+            if word.isalpha():
+                return self.part(word.lower())
+            if word[-1:] in self.marks and (head := word[:-1]).isalpha():
+                return self.part(head.lower()) + self.marks[word[-1]]
+        if not self.KNOWN(word):
+            return b"".join([self.raw[i] for i in self.full.encode(word, add_special_tokens=False).ids])
         word = unicodedata.normalize("NFC", word)
-        return "".join(c.lower() for c in word) if "Σ" in word else word.lower()
-
-    def _encode(self, parts: list[str]) -> None:
-        for at in range(0, len(parts), CALL):
-            call = parts[at : at + CALL]
-            ids = np.array(self.bare.encode_batch_fast([" ".join(call)], add_special_tokens=False)[0].ids, "<u4")
-            stops = np.flatnonzero(self.ends[ids]) + 1
-            assert len(stops) == len(call), "a piece was split in another way"
-            raw, begin = ids.tobytes(), 0
-            for part, stop in zip(call, (stops * 4).tolist()):
-                self.parts[part] = raw[begin:stop]
-                begin = stop
+        word = "".join(c.lower() for c in word) if "Σ" in word else word.lower()
+        return b"".join(map(self.part, self.PARTS(word)))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Each text's ids as little-endian unsigned 32-bit integers."""
-        split = [t.replace("\n", " ").split(" ") for t in texts]
-        new = set().union(*split)
-        if len(self.words) + len(new) > WORDS:
-            self.words.clear()
-        new -= self.words.keys()
-        if rare := [w for w in new if not self.KNOWN(w)]:
-            new.difference_update(rare)
-            self.words |= {w: np.array(e.ids, "<u4").tobytes() for w, e in zip(rare, self.full.encode_batch_fast(rare, add_special_tokens=False))}
-        found = {w: self.PARTS(self.normal(w)) for w in new}
-        parts = {p for f in found.values() for p in f}
-        if len(self.parts) + len(parts) > WORDS:
-            self.parts.clear()
-        self._encode([p for p in parts if p not in self.parts])
-        for w, f in found.items():
-            self.words[w] = b"".join(map(self.parts.__getitem__, f))
-        return [b"".join(map(self.words.__getitem__, s)) for s in split]
+        out = []
+        for text in texts:
+            known = self.words
+            if len(known) > WORDS:
+                known.clear()
+            split = text.replace("\n", " ").split(" ")
+            ids = list(map(known.get, split))
+            if None in ids:
+                for at, w in enumerate(split):
+                    if ids[at] is None:
+                        if (raw := known.get(w)) is None:
+                            raw = known[w] = self.word(w)
+                        ids[at] = raw
+            out.append(b"".join(ids))
+        return out
 
 
 _LOADED: dict[str, WordBPE] = {}
