@@ -84,12 +84,10 @@ def sketch(measured: DataFrame) -> DataFrame:
 
 def fences(sketches: DataFrame) -> DataFrame:
     """lang, source and one fence per metric."""
-    spark = sketches.sparkSession
-    spark_view = sketches.select("lang", "source", "metric", "bucket", "n")
     levels = {0: ["lang", "source"], 1: ["lang"], 2: []}
     found = {}
     for level, keys in levels.items():
-        merged = spark_view.groupBy(*keys, "metric", "bucket").agg(F.sum("n").alias("n"))
+        merged = sketches.groupBy(*keys, "metric", "bucket").agg(F.sum("n").alias("n"))
         over = ", ".join([*keys, "metric"])
         ranked = merged.selectExpr(*keys, "metric", "bucket", f"sum(n) OVER (PARTITION BY {over} ORDER BY bucket) AS upto", f"sum(n) OVER (PARTITION BY {over}) AS total")
         found[level] = ranked.groupBy(*keys, "metric").agg(
@@ -123,11 +121,11 @@ def judge(docs: DataFrame, carry: list[str] | None = None) -> DataFrame:
     rows = measure(slim, "__text")
     rows = scratch.keep(rows.drop("__text"), "measured")
     limits = scratch.keep(fences(sketch(rows.select(F.col("__lang").alias("lang"), F.col("__source").alias("source"), *MEASURED))), "fences")
-    salted = limits.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    salted = limits.select(F.col("lang").alias("__l"), F.col("source").alias("__s"), *[F.col(f"fence_{m}").alias(f"__fence_{m}") for m in METRICS], F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("__k"))
     rows = rows.withColumn("__salt", F.pmod(F.xxhash64(*MEASURED), F.lit(SALTS)).cast("int"))
-    joined = rows.join(salted, F.expr("__lang <=> lang AND __source <=> source").__and__(rows["__salt"] == salted["__salt"]) if not {"lang", "source"} & set(carry) else (rows["__lang"].eqNullSafe(salted["lang"]) & rows["__source"].eqNullSafe(salted["source"]) & (rows["__salt"] == salted["__salt"])), "left")
+    joined = rows.join(salted, F.expr("__lang <=> __l AND __source <=> __s AND __salt = __k"), "left")
     base = F.expr("n_words < 10 OR 100 * n_repeat_words > 20 * n_words")
     outlier = F.lit(False)
     for m, (sql, _) in METRICS.items():
-        outlier = outlier | (F.expr(sql) > F.col(f"fence_{m}"))
-    return joined.select(*[rows[f"`{c}`"] for c in carry], *MEASURED, base.alias("base_failed"), (~base & ~F.coalesce(outlier, F.lit(False))).alias("kept"))
+        outlier = outlier | (F.expr(sql) > F.col(f"__fence_{m}"))
+    return joined.select(*[F.col(f"`{c}`") for c in carry], *MEASURED, base.alias("base_failed"), (~base & ~F.coalesce(outlier, F.lit(False))).alias("kept"))

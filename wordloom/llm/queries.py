@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, language_id, packing, quality_classifier, zdict
+from . import byte_bpe, language_id, packing, quality_classifier, quality_rules, secret_scan, warc, zdict
 from .shared import table
 
 
@@ -17,6 +17,12 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
+    judged = quality_rules.judge(docs, carry=["doc_id"])
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_lines", "n_upper")
+
+
 def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, held = table(spark, sf_dir, "documents").select("doc_id", "text"), zdict.held_out(F.col("doc_id"))
     model = quality_classifier.learn(docs.where(~held), table(spark, sf_dir, "labels").where(~held))
@@ -24,6 +30,11 @@ def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index, folder = warc.archive(table(spark, sf_dir, "pages"))
+    return warc.read(index, folder).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url")
+
+
 def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     out = byte_bpe.encode_documents(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, decode=True)
@@ -37,6 +48,14 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held.alias("held_out"), F.col("lang_best").alias("lang_pred"), "score", "rejected")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_packing, op4_quality_classifier, op7_byte_bpe, op9_language_id)}
+def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = secret_scan.train(secret_scan.identifiers(docs))
+    found = secret_scan.find(docs, model)
+    of = lambda kind: F.size(F.filter("base", lambda x: x["kind"] == kind)).cast("long")
+    return found.select("doc_id", of(0).alias("n_assign"), of(1).alias("n_access"), of(2).alias("n_hex"), F.sha2(secret_scan.written(F.col("base")).cast("binary"), 256).alias("base_sha256"), secret_scan.written(F.col("spans")).alias("spans"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_packing, op2_quality_rules, op4_quality_classifier, op6_warc, op7_byte_bpe, op9_language_id, op10_secret_scan)}
 
 ORACLE_SQL: dict[str, str] = {}

@@ -93,7 +93,7 @@ def _transitions(samples: DataFrame) -> DataFrame:
     return samples.where("length(sample) >= 2").select("sample", "label", at).select("label", F.expr("ascii(substr(sample, i, 1))").alias("a"), F.expr("ascii(substr(sample, i + 1, 1))").alias("b"))
 
 
-def train(samples: DataFrame, smoothing: float = 0.5, floor: float = 0.3, slack: float = 0.1) -> dict:
+def train(samples: DataFrame, smoothing: float = 0.5, floor: float = 2.0, slack: float = 0.1) -> dict:
     """The models' log-likelihood ratios by pair of characters (128 x 128, whatever the samples' size), and the threshold.
 
     The threshold lies `slack` above the mean ratio that 999 of 1000 ordinary
