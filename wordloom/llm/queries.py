@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, byte_bpe, language_id, packing, quality_classifier, quality_rules, secret_scan, warc, zdict
+from . import ann, byte_bpe, language_id, packing, quality_classifier, quality_rules, secret_scan, substring_dedup, warc, zdict
 from .shared import table
 
 
@@ -23,6 +23,10 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_lines", "n_upper")
 
 
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, held = table(spark, sf_dir, "documents").select("doc_id", "text"), zdict.held_out(F.col("doc_id"))
     model = quality_classifier.learn(docs.where(~held), table(spark, sf_dir, "labels").where(~held))
@@ -60,6 +64,6 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", of(0).alias("n_assign"), of(1).alias("n_access"), of(2).alias("n_hex"), F.sha2(secret_scan.written(F.col("base")).cast("binary"), 256).alias("base_sha256"), secret_scan.written(F.col("spans")).alias("spans"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_packing, op2_quality_rules, op4_quality_classifier, op6_warc, op7_byte_bpe, op8_ann, op9_language_id, op10_secret_scan)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_packing, op2_quality_rules, op3_substring_dedup, op4_quality_classifier, op6_warc, op7_byte_bpe, op8_ann, op9_language_id, op10_secret_scan)}
 
 ORACLE_SQL: dict[str, str] = {}
