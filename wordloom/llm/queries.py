@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, byte_bpe, language_id, packing, quality_classifier, quality_rules, secret_scan, substring_dedup, warc, zdict
+from . import ann, byte_bpe, language_id, packing, quality_classifier, quality_rules, secret_scan, simhash_dedup, substring_dedup, warc, zdict
 from .shared import table
 
 
@@ -34,6 +34,10 @@ def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
+def op5_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_dedup.classes(table(spark, sf_dir, "documents"))
+
+
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     index, folder = warc.archive(table(spark, sf_dir, "pages"))
     return warc.read(index, folder).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url")
@@ -64,6 +68,6 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", of(0).alias("n_assign"), of(1).alias("n_access"), of(2).alias("n_hex"), F.sha2(secret_scan.written(F.col("base")).cast("binary"), 256).alias("base_sha256"), secret_scan.written(F.col("spans")).alias("spans"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_packing, op2_quality_rules, op3_substring_dedup, op4_quality_classifier, op6_warc, op7_byte_bpe, op8_ann, op9_language_id, op10_secret_scan)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_packing, op2_quality_rules, op3_substring_dedup, op4_quality_classifier, op5_simhash_dedup, op6_warc, op7_byte_bpe, op8_ann, op9_language_id, op10_secret_scan)}
 
 ORACLE_SQL: dict[str, str] = {}
