@@ -215,14 +215,15 @@ def edges(reps: DataFrame, docs: DataFrame, scratch: Scratch, shard: int = SHARD
     """Verified pairs (a, b) of ids that connect what is near; reps has a row per distinct set, docs their texts."""
     dealt = scratch.keep(reps.select("doc_id", "bits", F.posexplode("keys").alias("k", "key")), "dealt")
     counts = dealt.groupBy("k", "key").agg(F.count("*").alias("n")).where("n > 1")
-    shared = scratch.keep(dealt.join(counts, ["k", "key"]), "shared")
-    sets = sets_of(docs.join(shared.select("doc_id").distinct(), "doc_id", "left_semi"))
+    # Merge joins are asked for, so that the plan (and what it writes) is the same at every size.
+    shared = scratch.keep(dealt.join(counts.hint("merge"), ["k", "key"]), "shared")
+    sets = sets_of(docs.join(shared.select("doc_id").distinct().hint("merge"), "doc_id", "left_semi"))
     # A larger shard is cut into blocks, and each document meets every block of its shard once.
     blocks = F.ceil(F.col("n") / shard).cast("int")
     mine = F.pmod(F.xxhash64("doc_id"), blocks).cast("int")
     placed = shared.select("k", "key", "doc_id", "bits", mine.alias("own"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("met"))
     # The same set is compared within a shard once for each row: repeated rows of one id are not.
-    full = placed.join(sets.dropDuplicates(["doc_id"]), "doc_id")
+    full = placed.join(sets.dropDuplicates(["doc_id"]).hint("merge"), "doc_id")
     name = F.xxhash64("k", "key", F.least("own", "met"), F.greatest("own", "met"))
     ordered = full.select(name.alias("shard"), F.least("own", "met").alias("low"), F.greatest("own", "met").alias("high"), "own", "doc_id", "bits", "set").repartition("shard").sortWithinPartitions("shard", "low", "high", "doc_id")
 
@@ -296,6 +297,6 @@ def classes(docs: DataFrame, shard: int = SHARD) -> DataFrame:
 
 def keep_one(docs: DataFrame, shard: int = SHARD) -> DataFrame:
     """docs without all but one document of each class: that with the smallest doc_id, of its repeated rows one. Null doc_ids stay."""
-    found = classes(docs, shard).where("doc_id = class_id").select(F.col("doc_id").alias("__id")).distinct()
+    found = classes(docs, shard).where("doc_id = class_id").select(F.col("doc_id").alias("__id")).distinct().hint("merge")
     some = docs.where("doc_id IS NOT NULL").join(found, F.col("doc_id") == F.col("__id"), "left_semi").dropDuplicates(["doc_id"])
     return some.unionByName(docs.where("doc_id IS NULL"))
