@@ -77,7 +77,7 @@ def stem(term: Column, language: str = "en") -> Column:
         return F.when(x.rlike("sses$"), F.regexp_replace(x, "es$", "")).when(x.rlike("ies$"), F.regexp_replace(x, "ies$", "i")).when(x.rlike("ss$"), x).otherwise(F.regexp_replace(x, "s$", ""))
 
     def tense(x: Column) -> Column:
-        return F.when(x.rlike("eed$"), F.regexp_replace(x, "eed$", "ee")).when(x.rlike(VOWEL + ".*ed$"), mend(F.regexp_replace(x, "ed$", ""))).when(x.rlike(VOWEL + ".*ing$"), mend(F.regexp_replace(x, "ing$", ""))).otherwise(x)
+        return F.when(x.rlike("[aeiou][^aeiou].*eed$"), F.regexp_replace(x, "eed$", "ee")).when(x.rlike("eed$"), x).when(x.rlike(VOWEL + ".*ed$"), mend(F.regexp_replace(x, "ed$", ""))).when(x.rlike(VOWEL + ".*ing$"), mend(F.regexp_replace(x, "ing$", ""))).otherwise(x)
 
     def mend(cut: Column) -> Column:
         return _let(

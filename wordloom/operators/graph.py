@@ -108,7 +108,7 @@ def page_rank_sequential(vertices: DataFrame, edges: DataFrame, damping: float =
                 rank[v] = (1 - damping) / n + damping * sum(rank[u] / degree[u] for u in into.get(v, ()))
         return pd.DataFrame({"id": own, "page_rank": [rank[v] for v in own]})
 
-    return all_rows.groupBy(F.lit(0)).applyInPandas(run, "id long, page_rank double")
+    return all_rows.withColumn("g", F.lit(0)).groupBy("g").applyInPandas(run, "id long, page_rank double")
 
 
 def num_views(docs: DataFrame, log: DataFrame, how: str = "last") -> DataFrame:

@@ -122,7 +122,7 @@ def _stem_sql() -> str:
     v, m = text.VOWEL, lambda x, p: f"regexp_matches({x}, '{p}')"
     cut = lambda x, p, r="": f"regexp_replace({x}, '{p}', '{r}')"
     one = f"CASE WHEN {m('term', 'sses$')} THEN {cut('term', 'es$')} WHEN {m('term', 'ies$')} THEN {cut('term', 'ies$', 'i')} WHEN {m('term', 'ss$')} THEN term ELSE {cut('term', 's$')} END"
-    two = f"CASE WHEN {m('s1', 'eed$')} THEN {cut('s1', 'eed$', 'ee')} WHEN {m('s1', v + '.*ed$')} THEN {cut('s1', 'ed$')} WHEN {m('s1', v + '.*ing$')} THEN {cut('s1', 'ing$')} ELSE s1 END"
+    two = f"CASE WHEN {m('s1', '[aeiou][^aeiou].*eed$')} THEN {cut('s1', 'eed$', 'ee')} WHEN {m('s1', 'eed$')} THEN s1 WHEN {m('s1', v + '.*ed$')} THEN {cut('s1', 'ed$')} WHEN {m('s1', v + '.*ing$')} THEN {cut('s1', 'ing$')} ELSE s1 END"
     three = f"CASE WHEN s2 = s1 OR {m('s1', 'eed$')} THEN s2 WHEN {m('s2', '(at|bl|iz)$')} THEN concat(s2, 'e') WHEN {m('s2', text.DOUBLE)} THEN substr(s2, 1, length(s2) - 1) WHEN {m('s2', '^[^aeiou]*[aeiou][^aeiouwxy]$')} THEN concat(s2, 'e') ELSE s2 END"
     last = f"CASE WHEN length(term) <= 2 OR length(term) >= 50 OR NOT {m('term', '^[a-z]+$')} THEN term WHEN {m('s3', v + '.*y$')} THEN {cut('s3', 'y$', 'i')} ELSE s3 END"
     return f"WITH {TOK} SELECT term, {last} AS stem FROM (SELECT *, {three} AS s3 FROM (SELECT *, {two} AS s2 FROM (SELECT term, {one} AS s1 FROM (SELECT DISTINCT term FROM tok))))"

@@ -104,7 +104,7 @@ def rss_sources(lines: DataFrame) -> DataFrame:
     """value and line: url and publisher, which the last line that starts with # names; blank and // lines are skipped."""
     name = F.when(F.col("value").startswith("#"), F.trim(F.regexp_replace("value", "^#+", "")))
     # A list of sources is a short file, read as one run.
-    filled = lines.withColumn("publisher", F.last(name, ignorenulls=True).over(Window.orderBy("line")))
+    filled = lines.withColumn("publisher", F.last(name, ignorenulls=True).over(Window.orderBy("line").rowsBetween(Window.unboundedPreceding, 0)))
     return filled.where(~F.col("value").rlike(r"^\s*(#|//|$)")).select(F.trim("value").alias("url"), "publisher", "line")
 
 
@@ -124,7 +124,7 @@ def topic_keys(spark: SparkSession, path: str) -> DataFrame:
 def misspellings(lines: DataFrame) -> DataFrame:
     """value and line: wrong, right; a line $word is right for the lines after it."""
     right = F.when(F.col("value").startswith("$"), F.expr("substr(value, 2)"))
-    filled = lines.withColumn("right", F.last(right, ignorenulls=True).over(Window.orderBy("line")))
+    filled = lines.withColumn("right", F.last(right, ignorenulls=True).over(Window.orderBy("line").rowsBetween(Window.unboundedPreceding, 0)))
     return filled.where(~F.col("value").startswith("$") & (F.trim("value") != "")).select(F.trim("value").alias("wrong"), "right")
 
 
