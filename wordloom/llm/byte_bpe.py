@@ -17,7 +17,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .shared import append_columns
+from .shared import append_columns, claim
 
 #: Entries that a worker's tables of words and of pairs may hold; a full table starts afresh.
 WORDS, PAIRS = 300_000, 1_000_000
@@ -138,6 +138,7 @@ _LOADED: dict[tuple[str, str], ByteBPE] = {}
 
 def load(path: str, pattern: str) -> ByteBPE:
     """The vocabulary, built once per worker process."""
+    claim("byte_bpe", _LOADED.clear)
     if (path, pattern) not in _LOADED:
         _LOADED[path, pattern] = ByteBPE(path, pattern)
     return _LOADED[path, pattern]

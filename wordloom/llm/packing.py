@@ -22,10 +22,10 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import Scratch
+from .shared import Scratch, claim
 
 #: Entries that a worker's table of words may hold; a full table starts afresh.
-WORDS = 600_000
+WORDS = 500_000
 PIECE = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
 
 
@@ -93,6 +93,7 @@ _LOADED: dict[str, WordBPE] = {}
 
 
 def load(path: str) -> WordBPE:
+    claim("packing", _LOADED.clear)
     if path not in _LOADED:
         _LOADED[path] = WordBPE(path)
     return _LOADED[path]

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import shutil
 import tempfile
 import uuid
@@ -17,6 +18,18 @@ from pyspark.sql import types as T
 ARROW = {T.LongType(): pa.int64(), T.IntegerType(): pa.int32(), T.DoubleType(): pa.float64(), T.StringType(): pa.string(), T.BinaryType(): pa.binary(), T.BooleanType(): pa.bool_()}
 
 
+_OWNER: list = [None, None]
+
+
+def claim(name: str, clear: Callable[[], None]) -> None:
+    """Say whose tables a Python worker holds: another operator's before it are cleared, so that they never add up."""
+    if _OWNER[0] != name:
+        if _OWNER[1]:
+            _OWNER[1]()
+            gc.collect()
+        _OWNER[:] = [name, clear]
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -25,6 +38,8 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share: spark.checkpoint.dir of the session, or a temporary one where it is unset (tests)."""
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if base is None:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="wordloom-")
         atexit.register(shutil.rmtree, base[7:], True)
         spark.sparkContext._conf.set("spark.checkpoint.dir", base)

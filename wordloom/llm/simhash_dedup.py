@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .quality_rules import words_of
-from .shared import Scratch
+from .shared import Scratch, claim
 
 SHINGLE, SIMILAR = 5, 0.8
 KEYS, ROWS = 8, 2
@@ -34,7 +34,7 @@ SHARD = 2048
 #: Shards up to this size are searched exactly at once: a beam would take in all of them.
 SMALL = 48
 LINKS, BEAMS, AUDITED = 12, (8, 32, 128), 16
-WORDS = 400_000
+WORDS = 300_000
 
 _RNG = np.random.default_rng(20240501)
 _MULTIPLY = _RNG.integers(1, 1 << 63, KEYS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -86,6 +86,7 @@ def signatures(docs: DataFrame) -> DataFrame:
     """doc_id, the set's hash (null: no word), SimHash and keys of docs(doc_id, text); nothing of the text itself."""
 
     def make(batches):
+        claim("simhash_dedup", _HASHES.clear)
         for batch in batches:
             for at in range(0, batch.num_rows, 1024):
                 part = batch.slice(at, 1024)
@@ -106,6 +107,7 @@ def sets_of(docs: DataFrame) -> DataFrame:
     """doc_id and its set as 32-bit hashes (sorted, little-endian), for comparing."""
 
     def make(batches):
+        claim("simhash_dedup", _HASHES.clear)
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)

@@ -6,6 +6,8 @@ import zstandard
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .shared import claim
+
 
 class Sizer:
     """Compressed sizes of a text by dictionary; frames carry no header fields that all texts share."""
@@ -27,6 +29,7 @@ _MADE: dict[tuple, Sizer] = {}
 
 def sizer(dictionaries: dict, level: int, min_match: int = 0) -> Sizer:
     """A Sizer, made once per worker process and set of dictionaries."""
+    claim("zdict", _MADE.clear)
     key = (level, min_match, *sorted(dictionaries.items()))
     if key not in _MADE:
         _MADE.clear()
