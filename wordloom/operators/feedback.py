@@ -18,6 +18,15 @@ def expand(doc_tf: DataFrame, top_docs: DataFrame, query_terms: list[str], num_t
     return best.select("term", "frequency", (F.col("frequency") / F.sum("frequency").over(Window.partitionBy())).alias("prf"))
 
 
+def expand_batch(doc_tf: DataFrame, top_docs: DataFrame, query_terms: DataFrame, num_terms: int) -> DataFrame:
+    """top_docs(query, doc_id), query_terms(query, term): query, term, frequency, prf for all queries in one plan."""
+    rows = top_docs.join(doc_tf, "doc_id").where(~text.is_stop_word(F.col("term"))).join(query_terms, ["query", "term"], "left_anti")
+    counts = rows.groupBy("query", "term").agg(F.sum("tf").alias("frequency"))
+    rank = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("frequency"), "term"))
+    best = counts.withColumn("__r", rank).where(F.col("__r") <= num_terms)
+    return best.select("query", "term", "frequency", (F.col("frequency") / F.sum("frequency").over(Window.partitionBy("query"))).alias("prf"))
+
+
 def bhattacharyya(weights: DataFrame) -> DataFrame:
     """weights(query, term, prf): q1, q2 and their coefficient for all ordered pairs of different queries that share a term, 0 for the others.
 

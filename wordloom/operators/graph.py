@@ -55,9 +55,11 @@ def out_degree(edges: DataFrame) -> DataFrame:
     return edges.groupBy("src").agg(F.count("*").alias("out_degree"))
 
 
-def _checkpoint_dir(spark: SparkSession) -> str:
+def checkpoint_dir(spark: SparkSession) -> str:
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if base is None:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         base = tempfile.mkdtemp(prefix="wordloom-")
         import atexit
 
@@ -68,7 +70,7 @@ def _checkpoint_dir(spark: SparkSession) -> str:
 
 def written(df: DataFrame, name: str) -> DataFrame:
     """df as a table in the cluster's shared folder: lineage is cut, and a lost executor costs no recomputation."""
-    path = os.path.join(_checkpoint_dir(df.sparkSession), f"{name}-{uuid.uuid4().hex}")
+    path = os.path.join(checkpoint_dir(df.sparkSession), f"{name}-{uuid.uuid4().hex}")
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

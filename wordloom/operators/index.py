@@ -119,12 +119,13 @@ class Index:
         """One row: documents, tokens and views of the corpus."""
         return self.docs.agg(F.count("*").alias("n_docs"), F.coalesce(F.sum("num_views"), F.lit(0)).alias("total_views")).join(self.term_stats.agg(F.coalesce(F.sum("cf"), F.lit(0)).alias("total_tf")))
 
-    def norms(self) -> DataFrame:
-        """Per document its length and the norm of its tf-idf weights, made once, not per query."""
+    def norms(self, of: DataFrame | None = None) -> DataFrame:
+        """Per document (of those in `of` only) its length and the norm of its tf-idf weights."""
+        rows = self.doc_tf.join(of, "doc_id", "left_semi") if of is not None else self.doc_tf
         n = self.docs.agg(F.count("*").alias("n_docs"))
-        lengths = self.doc_tf.groupBy("doc_id").agg(F.sum("tf").alias("doc_len"))
+        lengths = rows.groupBy("doc_id").agg(F.sum("tf").alias("doc_len"))
         weight = F.col("tf") / F.col("doc_len") * F.ln(F.col("n_docs") / F.col("df"))
-        joined = self.doc_tf.join(self.term_stats.select("term", "df"), "term").join(lengths, "doc_id").join(F.broadcast(n))
+        joined = rows.join(self.term_stats.select("term", "df"), "term").join(lengths, "doc_id").join(F.broadcast(n))
         return joined.groupBy("doc_id").agg(F.first("doc_len").alias("doc_len"), F.sqrt(F.sum(weight * weight)).alias("norm"))
 
     def save(self, path: str, parts: int = 64) -> None:

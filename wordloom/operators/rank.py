@@ -49,7 +49,7 @@ def cosine(index: Index, terms: list[str]) -> DataFrame:
     asked = spark.createDataFrame(list(counts.items()), "term string, qtf int")
     # As many rows as the query has terms.
     query = index.term_stats.where(F.col("term").isin(list(counts))).join(F.broadcast(asked), "term").join(F.broadcast(n)).select("term", (F.col("qtf") * F.ln(F.col("n_docs") / F.col("df"))).alias("wq"), F.ln(F.col("n_docs") / F.col("df")).alias("idf"))
-    joined = hits(index, list(counts)).join(F.broadcast(query), "term").join(index.norms(), "doc_id")
+    joined = hits(index, list(counts)).join(F.broadcast(query), "term").join(index.norms(match_all(index.doc_tf, list(counts))), "doc_id")
     summed = joined.groupBy("doc_id").agg(F.sum(F.col("tf") / F.col("doc_len") * F.col("idf") * F.col("wq")).alias("dot"), F.sum(F.col("wq") * F.col("wq")).alias("q2"), F.first("norm").alias("norm"))
     return summed.select("doc_id", F.coalesce(F.try_divide("dot", F.col("norm") * F.sqrt("q2")), F.lit(0.0)).alias("score"))
 

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import os
-import tempfile
 import uuid
 from collections.abc import Callable
 from datetime import date
@@ -379,10 +378,10 @@ SIMILAR = ["with", "that", "und", "les"]
 @query(f"WITH {TF}, w AS ({' UNION ALL '.join(f'SELECT {chr(39)}{t}{chr(39)} AS q, term, prf FROM ({_prf_sql(t, 20, 50)})' for t in SIMILAR)}), c AS (SELECT a.q AS q1, b.q AS q2, sum(sqrt(a.prf * b.prf)) AS c FROM w a JOIN w b USING (term) WHERE a.q <> b.q GROUP BY ALL) SELECT x.q AS q1, y.q AS q2, round(coalesce(c, 0), 6) AS coefficient FROM (SELECT DISTINCT q FROM w) x JOIN (SELECT DISTINCT q FROM w) y ON x.q <> y.q LEFT JOIN c ON c.q1 = x.q AND c.q2 = y.q")
 def query_similarity(spark, sf_dir):
     ix = _index(spark, sf_dir)
-    parts = [_prf(ix, t, 20, 50).select(F.lit(t).alias("query"), "term", "prf") for t in SIMILAR]
-    weights = parts[0]
-    for part in parts[1:]:
-        weights = weights.union(part)
+    asked = spark.createDataFrame([(t, t) for t in SIMILAR], "query string, term string")
+    place = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("tf"), "doc_id"))
+    best = ix.doc_tf.where(F.col("term").isin(SIMILAR)).join(F.broadcast(asked), "term").withColumn("r", place).where("r <= 20").select("query", "doc_id")
+    weights = feedback.expand_batch(ix.doc_tf, best, asked, 50).select("query", "term", "prf")
     return _rounded(feedback.bhattacharyya(weights), "coefficient")
 
 
@@ -734,8 +733,7 @@ def lda_topics(spark, sf_dir):
 
 
 def _shared(spark: SparkSession) -> str:
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.gettempdir()
-    return os.path.join(base, f"stream-{uuid.uuid4().hex}")
+    return os.path.join(graph.checkpoint_dir(spark), f"stream-{uuid.uuid4().hex}")
 
 
 def _event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
