@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import Scratch, append_columns
+from .shared import Scratch, append_columns, claim
 
 UNIT = re.compile(r"[^.!?,;:\n]*(?:[.!?,;:\n]+\s*|$)").findall
 BASE = 0x9E3779B97F4A7C15
@@ -65,6 +65,7 @@ def occurrences(docs: DataFrame, run: int, words: int) -> DataFrame:
     """A row per span of docs(doc_id, text): its hash, the document (a null id sorts last), and its place: the text's tag and the unit."""
 
     def make(batches):
+        claim("substring_dedup", lambda: None)
         for batch in batches:
             hashes, owners, places = [], [], []
             for doc, tag, text in zip(*(batch.column(k).to_pylist() for k in range(3))):
@@ -109,6 +110,7 @@ def dedup(docs: DataFrame, run: int = 3, words: int = 15) -> DataFrame:
     joined = keyed.join(gone.withColumnsRenamed({"doc": "__doc", "tag": "__tag", "starts": "__starts"}), ["__doc", "__tag"], "left").drop("__doc", "__tag")
 
     def make(chunks):
+        claim("substring_dedup", lambda: None)
         for texts, starts in chunks:
             out: list[list] = [[], [], [], []]
             for text, begun in zip(texts, starts):
