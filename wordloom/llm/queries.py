@@ -98,6 +98,28 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 
 
 ORACLE_SQL: dict[str, str] = {
+    "op3_substring_dedup": """WITH d AS (SELECT doc_id, list_filter(regexp_extract_all(text, '[^.!?,;:\\n]*(?:[.!?,;:\\n]+\\s*|$)'), lambda x: x <> '') AS us FROM documents),
+u AS (SELECT doc_id, unnest(us) AS raw, unnest(range(len(us))) AS i FROM d),
+p AS (SELECT doc_id, i, raw, regexp_extract_all(raw, '\\S+') AS ws FROM u),
+c AS (SELECT doc_id, i, raw, rtrim(array_to_string(ws, ' '), '.!?,;:') AS plain, sum(len(ws)) OVER (PARTITION BY doc_id ORDER BY i) AS upto, sum(len(ws)) OVER (PARTITION BY doc_id ORDER BY i) - len(ws) + 15 AS want, sum(length(raw)) OVER (PARTITION BY doc_id ORDER BY i) AS stop_at FROM p),
+l AS (SELECT doc_id, list(plain ORDER BY i) AS plains FROM c GROUP BY doc_id),
+k AS (SELECT doc_id, upto, min(i) AS at FROM c GROUP BY ALL),
+r AS (SELECT c.doc_id, c.i, greatest(k.at + 1, c.i + 3) AS stop FROM c ASOF JOIN k ON c.doc_id = k.doc_id AND c.want <= k.upto),
+runs AS (SELECT doc_id, i, stop, row_number() OVER (PARTITION BY array_to_string(plains[i + 1:stop], chr(1)) ORDER BY doc_id, i) AS nth FROM r JOIN l USING (doc_id) WHERE stop <= len(plains)),
+gone AS (SELECT DISTINCT doc_id, unnest(range(i, stop)) AS i FROM runs WHERE nth > 1),
+m AS (SELECT c.doc_id, c.i, raw, stop_at, gone.i IS NOT NULL AS cut FROM c LEFT JOIN gone ON gone.doc_id = c.doc_id AND gone.i = c.i),
+g AS (SELECT doc_id, i, raw, stop_at, i - row_number() OVER (PARTITION BY doc_id ORDER BY i) AS island FROM m WHERE cut),
+s AS (SELECT doc_id, string_agg(concat(a, ':', b), ',' ORDER BY a) AS removed FROM (SELECT doc_id, min(stop_at - length(raw)) AS a, max(stop_at) AS b FROM g GROUP BY doc_id, island) GROUP BY doc_id),
+t AS (SELECT doc_id, coalesce(string_agg(raw, '' ORDER BY i) FILTER (NOT cut), '') AS text, count(*) AS n_sentences, count(*) FILTER (cut) AS n_removed FROM m GROUP BY doc_id)
+SELECT documents.doc_id, coalesce(t.text, documents.text) AS text, coalesce(n_sentences, 0) AS n_sentences, coalesce(n_removed, 0) AS n_removed, coalesce(removed, '') AS removed FROM documents LEFT JOIN t USING (doc_id) LEFT JOIN s USING (doc_id)""",
+    "op5_simhash_dedup": """WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[^\\x20\\x09-\\x0D]+') AS ws FROM documents),
+sh AS (SELECT DISTINCT doc_id, g FROM (SELECT doc_id, ws[i:i + 4] AS g FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 4, 1) + 1)) AS i FROM w WHERE len(ws) > 0))),
+sz AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY doc_id),
+pr AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM sh a JOIN sh b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+ed AS (SELECT a, b FROM pr JOIN sz x ON x.doc_id = a JOIN sz y ON y.doc_id = b WHERE 5 * c >= 4 * (x.n + y.n - c)),
+both_ways AS (SELECT a, b FROM ed UNION ALL SELECT b, a FROM ed),
+reach AS (SELECT doc_id AS id, doc_id AS r FROM w UNION SELECT reach.id, both_ways.b FROM reach JOIN both_ways ON both_ways.a = reach.r)
+SELECT id AS doc_id, min(r) AS class_id FROM reach GROUP BY id""",
     "op2_quality_rules": _rules_sql(),
     "op6_warc": """WITH s AS (SELECT page_id, url, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),
 f AS (SELECT payload_digest, min(page_id) AS first FROM s WHERE payload_bytes >= 100 GROUP BY payload_digest)
