@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from wordloom.functions import codec, text
+from wordloom.operators.graph import written
 
 
 def token_rows(docs: DataFrame, stem: bool = False, rich: bool = False) -> DataFrame:
@@ -107,9 +108,10 @@ class Index:
     doc_stats: DataFrame
 
     @classmethod
-    def build(cls, docs: DataFrame, stem: bool = False, rich: bool = False, page_rank: DataFrame | None = None, views: DataFrame | None = None) -> Index:
+    def build(cls, docs: DataFrame, stem: bool = False, rich: bool = False, page_rank: DataFrame | None = None, views: DataFrame | None = None, keep: bool = False) -> Index:
+        """keep writes the counts to the shared folder first, so that rankers that read them several times tokenise once."""
         rows = token_rows(docs, stem, rich)
-        tf = doc_tf(rows)
+        tf = written(doc_tf(rows), "doc-tf") if keep else doc_tf(rows)
         stats = term_stats(tf)
         titled = enriched(docs, page_rank, views)
         title_len = F.coalesce(F.size(text.tokens(F.col("title"), rich)), F.lit(0)).cast("long") if "title" in docs.columns else F.lit(0).cast("long")

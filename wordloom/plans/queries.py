@@ -54,12 +54,12 @@ def _ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _t(spark, sf_dir, "labels").groupBy("doc_id").agg(((F.max("quality") + 1) / 2.0).alias("page_rank"))
 
 
-def _index(spark: SparkSession, sf_dir: str) -> Index:
-    return Index.build(_docs(spark, sf_dir))
+def _index(spark: SparkSession, sf_dir: str, keep: bool = False) -> Index:
+    return Index.build(_docs(spark, sf_dir), keep=keep)
 
 
 def _rich_index(spark: SparkSession, sf_dir: str) -> Index:
-    return Index.build(_docs(spark, sf_dir), page_rank=_ranks(spark, sf_dir), views=_views(spark, sf_dir))
+    return Index.build(_docs(spark, sf_dir), page_rank=_ranks(spark, sf_dir), views=_views(spark, sf_dir), keep=True)
 
 
 def _tf(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -305,23 +305,23 @@ def rank_conjunctive_phrase(spark, sf_dir):
 
 @query(f"WITH {COSINE} {_top('SELECT doc_id, round(score, 6) AS score FROM cos')}")
 def rank_cosine(spark, sf_dir):
-    ix = _index(spark, sf_dir)
+    ix = _index(spark, sf_dir, keep=True)
     return _best(ix, rank.cosine(ix, TERMS))
 
 
 @query(f"WITH {COSINE} SELECT doc_id, round(score, 6) AS score FROM cos")
 def rank_cosine_all(spark, sf_dir):
-    return _rounded(rank.cosine(_index(spark, sf_dir), TERMS), "score")
+    return _rounded(rank.cosine(_index(spark, sf_dir, keep=True), TERMS), "score")
 
 
 @query(f"WITH {QL} SELECT doc_id, round(score * 1e6, 6) AS score FROM ql")
 def rank_ql(spark, sf_dir):
-    return rank.query_likelihood(_index(spark, sf_dir), TERMS).select("doc_id", F.round(F.col("score") * 1e6, 6).alias("score"))
+    return rank.query_likelihood(_index(spark, sf_dir, keep=True), TERMS).select("doc_id", F.round(F.col("score") * 1e6, 6).alias("score"))
 
 
 @query(f"WITH {NORMS}, {_hits(TERMS)} SELECT doc_id, round(exp(sum(ln(0.5 * tf / doc_len))) * 1e6, 6) AS score FROM hits JOIN lens USING (doc_id) GROUP BY doc_id")
 def rank_ql_unsmoothed(spark, sf_dir):
-    return rank.query_likelihood(_index(spark, sf_dir), TERMS, smoothing="none").select("doc_id", F.round(F.col("score") * 1e6, 6).alias("score"))
+    return rank.query_likelihood(_index(spark, sf_dir, keep=True), TERMS, smoothing="none").select("doc_id", F.round(F.col("score") * 1e6, 6).alias("score"))
 
 
 @query(f"WITH {COSINE}, {TITLES}, {EXTRA} SELECT doc_id, round(score * CASE WHEN page_rank > 0 THEN page_rank ELSE 1 END * (1 + 0.1 * num_views / (SELECT sum(num_views) FROM meta)) * CASE WHEN in_title THEN 2 ELSE 1 END, 6) AS score FROM cos JOIN meta USING (doc_id) LEFT JOIN intitle USING (doc_id)")
@@ -331,7 +331,7 @@ def rank_comprehensive(spark, sf_dir):
 
 @query(f"WITH {COSINE}, {BUCKET} SELECT doc_id, round(score / {AGE}, 6) AS score FROM cos LEFT JOIN buckets USING (doc_id)")
 def rank_news(spark, sf_dir):
-    return _rounded(rank.news(_index(spark, sf_dir), TERMS, _buckets(spark, sf_dir)), "score")
+    return _rounded(rank.news(_index(spark, sf_dir, keep=True), TERMS, _buckets(spark, sf_dir)), "score")
 
 
 @query(f"WITH {QL}, {TITLES}, {EXTRA}, {BUCKET} SELECT doc_id, round(1e6 * score * CASE WHEN page_rank > 0 THEN page_rank ELSE 1 END * CASE WHEN num_views > 0 THEN num_views ELSE 1 END * CASE WHEN in_title THEN 1.5 ELSE 1 END / {AGE}, 6) AS score FROM ql JOIN meta USING (doc_id) LEFT JOIN intitle USING (doc_id) LEFT JOIN buckets USING (doc_id)")
@@ -350,7 +350,7 @@ def rank_phrase_bigram(spark, sf_dir):
 )
 def multi_query_scores(spark, sf_dir):
     asked = spark.createDataFrame([(k, t) for k, ts in BATCH.items() for t in ts], "query_id long, term string")
-    return _rounded(rank.batch_cosine(_index(spark, sf_dir), asked, 1 << 30).select("query_id", "doc_id", "score"), "score")
+    return _rounded(rank.batch_cosine(_index(spark, sf_dir, keep=True), asked, 1 << 30).select("query_id", "doc_id", "score"), "score")
 
 
 # Feedback and requests
@@ -369,7 +369,7 @@ def _prf(ix: Index, term: str, docs: int, n: int) -> DataFrame:
 
 @query(f"WITH {TF} SELECT term, frequency, round(prf, 6) AS prf FROM ({_prf_sql('with', 20, 10)})")
 def prf_expand(spark, sf_dir):
-    return _rounded(_prf(_index(spark, sf_dir), "with", 20, 10), "prf")
+    return _rounded(_prf(_index(spark, sf_dir, keep=True), "with", 20, 10), "prf")
 
 
 SIMILAR = ["with", "that", "und", "les"]
@@ -377,7 +377,7 @@ SIMILAR = ["with", "that", "und", "les"]
 
 @query(f"WITH {TF}, w AS ({' UNION ALL '.join(f'SELECT {chr(39)}{t}{chr(39)} AS q, term, prf FROM ({_prf_sql(t, 20, 50)})' for t in SIMILAR)}), c AS (SELECT a.q AS q1, b.q AS q2, sum(sqrt(a.prf * b.prf)) AS c FROM w a JOIN w b USING (term) WHERE a.q <> b.q GROUP BY ALL) SELECT x.q AS q1, y.q AS q2, round(coalesce(c, 0), 6) AS coefficient FROM (SELECT DISTINCT q FROM w) x JOIN (SELECT DISTINCT q FROM w) y ON x.q <> y.q LEFT JOIN c ON c.q1 = x.q AND c.q2 = y.q")
 def query_similarity(spark, sf_dir):
-    ix = _index(spark, sf_dir)
+    ix = _index(spark, sf_dir, keep=True)
     asked = spark.createDataFrame([(t, t) for t in SIMILAR], "query string, term string")
     place = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("tf"), "doc_id"))
     best = ix.doc_tf.where(F.col("term").isin(SIMILAR)).join(F.broadcast(asked), "term").withColumn("r", place).where("r <= 20").select("query", "doc_id")
