@@ -18,6 +18,8 @@ from pyspark.sql import types as T
 ARROW = {T.LongType(): pa.int64(), T.IntegerType(): pa.int32(), T.DoubleType(): pa.float64(), T.StringType(): pa.string(), T.BinaryType(): pa.binary(), T.BooleanType(): pa.bool_()}
 
 
+#: Rows in an Arrow batch between the JVM and Python.
+BATCH = 1000
 _OWNER: list = [None, None]
 
 
@@ -46,10 +48,22 @@ def shared_dir(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Whole texts travel in batches of at most BATCH rows, so that very long ones don't add up; a smaller setting of the session stays."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= BATCH:
+        spark.conf.set(key, BATCH)
+
+
 class Scratch:
     """Tables of one operator run, written to the shared folder so that a lost executor costs no recomputation of what came before."""
 
+    #: All of this process, in the order they were made.
+    made: list[Scratch] = []
+
     def __init__(self, spark: SparkSession, name: str):
+        self.made.append(self)
+        small_batches(spark)
         self.spark, self.path = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
     def keep(self, df: DataFrame, name: str) -> DataFrame:
@@ -70,6 +84,7 @@ def append_columns(df: DataFrame, uses: list[str], make: Callable[[Iterator[list
     Columns of df that bear a new column's name are replaced; all others pass
     untouched.
     """
+    small_batches(df.sparkSession)
     new = {n for n, _ in fields}
     clash = [c for c in df.columns if c in new]
     kept = [c for c in df.columns if c not in new]
