@@ -28,6 +28,48 @@ def brute(rows, run=3, words=15):
     return out
 
 
+def brute_words(rows, least=50):
+    """The words (by doc_id and text) that lie in a run of `least` words that came earlier."""
+    first, gone = set(), {}
+    for doc, text in sorted({(d, t) for d, t in rows if t is not None}, key=lambda r: (r[0] is None, r[0] or 0)):
+        words = [m[0] for m in substring_dedup.WORD.finditer(text)]
+        for i in range(len(words) - least + 1):
+            key = tuple(words[i : i + least])
+            if key in first:
+                gone.setdefault((doc, text), set()).update(range(i, i + least))
+            first.add(key)
+    return gone
+
+
+def test_runs_of_words(spark, sf_dir):
+    rng = random.Random(7)
+    some = lambda n: " ".join("".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(n))
+    plain, sentences = some(60), some(30) + ". " + some(40)
+    chinese = "".join(chr(rng.randrange(0x4E00, 0x9FFF)) for _ in range(55)) + "\u3002"
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()]
+    n = len(rows)
+    rows += [(100000 + 2 * k + j, f"begin{j} {t} end{j}") for k, t in enumerate((plain, sentences, chinese)) for j in (0, 1)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    gone, units_only = brute_words(rows), brute(rows)
+    got = substring_dedup.dedup(df, least=50).collect()
+    assert len(got) == len(rows) and len(gone) > 10
+    assert all(units_only[r] == r[1] for r in rows[n:])  # the rule of sentences leaves all of these whole
+    texts = dict(rows)
+    for r in got:
+        text = texts[r.doc_id]
+        cut = [tuple(map(int, x.split(":"))) for x in r.removed.split(",") if x]
+        dropped = {i for a, b in cut for i in range(a, b)}
+        spots = [m.span() for m in substring_dedup.WORD.finditer(text or "")]
+        want = gone.get((r.doc_id, text), set())
+        assert all(dropped.issuperset(range(*spots[i])) for i in want)
+        assert text is None or r.text == "".join(c for i, c in enumerate(text) if i not in dropped)
+        if units_only[r.doc_id, text] == text:  # nothing goes but those words
+            assert {i for i, s in enumerate(spots) if s[0] in dropped} == want
+        assert (r.n_removed > 0) == bool(cut)
+    left = {r.doc_id: r.text for r in got}
+    assert [left[100001 + 2 * k] for k in range(3)] == ["begin1 end1"] * 3
+
+
 def test_query(spark, sf_dir):
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()]
     want = brute(rows)

@@ -27,6 +27,11 @@ def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op3_substring_dedup_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Also every run of 50 words that came earlier, which the SQL of op3_substring_dedup leaves where it has few sentence marks."""
+    return substring_dedup.dedup(table(spark, sf_dir, "documents").select("doc_id", "text"), least=50)
+
+
 def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, held = table(spark, sf_dir, "documents").select("doc_id", "text"), zdict.held_out(F.col("doc_id"))
     model = quality_classifier.learn(docs.where(~held), table(spark, sf_dir, "labels").where(~held))
@@ -68,7 +73,7 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", of(0).alias("n_assign"), of(1).alias("n_access"), of(2).alias("n_hex"), F.sha2(secret_scan.written(F.col("base")).cast("binary"), 256).alias("base_sha256"), secret_scan.written(F.col("spans")).alias("spans"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_packing, op2_quality_rules, op3_substring_dedup, op4_quality_classifier, op5_simhash_dedup, op6_warc, op7_byte_bpe, op8_ann, op9_language_id, op10_secret_scan)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_packing, op2_quality_rules, op3_substring_dedup, op3_substring_dedup_words, op4_quality_classifier, op5_simhash_dedup, op6_warc, op7_byte_bpe, op8_ann, op9_language_id, op10_secret_scan)}
 
 
 def _rules_sql() -> str:
