@@ -1,7 +1,9 @@
 """Secret scans: the base spans against Python's re, the models on samples, redaction and edges."""
 
 import hashlib
+import random
 import re
+import string
 
 from pyspark.sql import functions as F
 
@@ -44,3 +46,14 @@ def test_edges(spark):
     assert "ghp_" not in clean[9] and "user_name_field_12 in src/main" in clean[9]
     assert secret_scan.find(df.limit(0), model).count() == 0
     assert secret_scan.train(secret_scan.identifiers(df.limit(0)))["threshold"] >= 2
+
+
+def test_letters_only(spark):
+    rng = random.Random(3)
+    keys = ["".join(rng.choice(string.ascii_letters) for _ in range(20)) for _ in range(200)]
+    plain = ["-" * 40, "=" * 20 + " Title " + "-" * 20, "a" + "-" * 30, "|" + "----|" * 9, "/" * 20 + "x", "4111111111111111", "src/main/java/com/app/Main", "Donaudampfschifffahrtsgesellschaft", "THIS_IS_A_CONSTANT_NAME"]
+    model = secret_scan.train(secret_scan.identifiers(spark.read.parquet("/root/testdata/sf0.001/documents.parquet")))
+    df = spark.createDataFrame([(f"see {x} here",) for x in keys + plain], "text string")
+    got = {r.text: r.s for r in secret_scan.find(df, model).select("text", secret_scan.written(F.col("spans")).alias("s")).collect()}
+    assert sum(got[f"see {k} here"] == "markov:4:24" for k in keys) > 180
+    assert not any(got[f"see {x} here"] for x in plain)

@@ -1,10 +1,10 @@
 """Secret scans: patterns, and Markov models of random strings against ordinary identifiers.
 
 All of it is DataFrame expressions. The patterns find assigned, access-key and
-hexadecimal secrets. Beyond them, runs of token characters with both a letter
-and a digit are scored by two first-order character models, one learnt from
-random strings and one from identifiers: a run whose log-likelihood ratio per
-transition is above the threshold is a secret too.
+hexadecimal secrets. Beyond them, runs of token characters are scored by two
+first-order character models, one learnt from random strings and one from
+identifiers: a run whose log-likelihood ratio per transition is above the
+threshold is a secret too.
 """
 
 from __future__ import annotations
@@ -21,8 +21,8 @@ ASSIGN = rf"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?
 ACCESS = "AKIA[A-Z0-9]{12,}"
 HEX = "[0-9a-f]{32,}"
 RUN = "A-Za-z0-9+/_=-"
-#: Runs of 16 to 256 token characters with a letter and a digit; a longer run is scored in pieces.
-CANDIDATE = "(?=[A-Za-z+/_=-]{0,255}[0-9])(?=[0-9+/_=-]{0,255}[A-Za-z])[" + RUN + "]{16,256}"
+#: Runs of 16 to 256 token characters; a longer run is scored in pieces. Where letters or digits are missing, three marks in a row, as in ruled lines, end a run.
+CANDIDATE = "(?=[" + RUN + "]{16})(?:(?=[A-Za-z+/_=-]{0,255}[0-9])(?=[0-9+/_=-]{0,255}[A-Za-z])[" + RUN + "]{16,256}|(?:[A-Za-z0-9]|[+/_=-](?![+/_=-]{2})){16,256})"
 SPAN = "array<struct<start:bigint,kind:int,end:bigint>>"
 
 
