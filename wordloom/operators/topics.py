@@ -109,8 +109,11 @@ def grade(proportion: Column) -> Column:
     return F.when(proportion > 0.8, "Perfect").when(proportion > 0.6, "Excellent").when(proportion > 0.4, "Good").when(proportion > 0.2, "Fair").otherwise("Bad")
 
 
-def topic_model(docs: DataFrame, topics: int = 200, words: int = 10, most: int = 5, vocabulary: int = 20_000, rounds: int = 20, seed: int = 1) -> tuple[DataFrame, DataFrame]:
-    """LDA over docs(doc_id, text): doc_topics(doc_id, topic_id, proportion), the `most` largest each, and topic_terms(topic_id, rank, term)."""
+def topic_model(docs: DataFrame, topics: int = 200, words: int = 10, most: int = 5, vocabulary: int | None = None, rounds: int = 20, seed: int = 1) -> tuple[DataFrame, DataFrame]:
+    """LDA over docs(doc_id, text): doc_topics(doc_id, topic_id, proportion), the `most` largest each, and topic_terms(topic_id, rank, term).
+
+    All terms of two or more documents count, unless `vocabulary` caps them to the most frequent.
+    """
     from pyspark.ml.clustering import LDA
     from pyspark.ml.feature import CountVectorizer
     from pyspark.ml.functions import vector_to_array
@@ -118,10 +121,11 @@ def topic_model(docs: DataFrame, topics: int = 200, words: int = 10, most: int =
     from wordloom.functions import text
 
     words_of = docs.select("doc_id", F.filter(text.tokens(F.col("text")), lambda t: ~text.is_stop_word(t)).alias("words"))
-    counted = CountVectorizer(inputCol="words", outputCol="features", vocabSize=vocabulary, minDF=2).fit(words_of)
+    counted = CountVectorizer(inputCol="words", outputCol="features", vocabSize=vocabulary or (1 << 31) - 1, minDF=2).fit(words_of)
     model = LDA(k=topics, maxIter=rounds, seed=seed, optimizer="online").fit(counted.transform(words_of).select("doc_id", "features"))
     shares = model.transform(counted.transform(words_of)).select("doc_id", F.posexplode(vector_to_array("topicDistribution")).alias("topic_id", "proportion"))
     doc_topics = shares.withColumn("r", F.row_number().over(Window.partitionBy("doc_id").orderBy(F.desc("proportion"), "topic_id"))).where(F.col("r") <= most).drop("r")
-    names = F.array(*map(F.lit, counted.vocabulary))
-    terms = model.describeTopics(words).select(F.col("topic").alias("topic_id"), F.posexplode("termIndices").alias("rank", "i")).select("topic_id", (F.col("rank") + 1).alias("rank"), F.get(names, F.col("i")).alias("term"))
+    names = counted.vocabulary
+    described = [(r["topic"], k + 1, names[i]) for r in model.describeTopics(words).collect() for k, i in enumerate(r["termIndices"])]
+    terms = docs.sparkSession.createDataFrame(described, "topic_id int, rank int, term string")
     return doc_topics, terms

@@ -726,7 +726,7 @@ def topic_model_lines(spark, sf_dir):
 
 @query()
 def lda_topics(spark, sf_dir):
-    return topics.topic_model(_t(spark, sf_dir, "documents").select("doc_id", "text"), topics=4, rounds=5, vocabulary=2000)[0]
+    return topics.topic_model(_t(spark, sf_dir, "documents").select("doc_id", "text"))[0]
 
 
 # Streams, run once through all there is
