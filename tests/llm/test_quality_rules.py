@@ -50,9 +50,45 @@ def test_sketches_merge(spark):
     assert whole == parts and len(whole) == 4 and two.count() <= 250
 
 
+def fences_of(spark, rows):
+    df = spark.createDataFrame(rows, "lang string, source string, " + ", ".join(f"{m} long" for m in quality_rules.MEASURED))
+    return {(r.lang, r.source): {m: r[f"fence_{m}"] for m in quality_rules.METRICS} for r in quality_rules.fences(quality_rules.sketch(df)).collect()}
+
+
+def group(rng, lang, source, scale, n=1500):
+    """Documents of 1000 words whose measures spread around `scale`."""
+    some = lambda top: max(0, int(rng.gauss(scale, scale / 4) * top / 100))
+    return [(lang, source, 1000, 4000 + 10 * some(100), some(20), some(4) if rng.random() < 0.3 else 0, some(30) if rng.random() < 0.3 else 0, 100, some(80), 3000 + some(400)) for _ in range(n)]
+
+
+def test_fences_adapt(spark):
+    """Every measure's fence differs between groups that differ; a source that shifts moves its own fence, hardly the others'."""
+    rng = random.Random(5)
+    before = {s: group(rng, "en", s, scale) for s, scale in (("a", 40), ("b", 80), ("c", 120))}
+    old = fences_of(spark, sum(before.values(), []))
+    for m in quality_rules.METRICS:
+        assert len({old["en", s][m] for s in before}) == 3
+    new = fences_of(spark, sum((before | {"b": group(rng, "en", "b", 240)}).values(), []))
+    for m in quality_rules.METRICS:
+        moved = {s: abs(new["en", s][m] / old["en", s][m] - 1) for s in before}
+        assert moved["b"] > 0.3 and max(moved["a"], moved["c"]) < moved["b"] / 4, (m, moved)
+
+
+def test_fences_worked(spark):
+    """One group of 4 rows, another of 8: the quantiles, the multiple and the means by hand."""
+    row = lambda lang, source, chars: (lang, source, 100, chars, 0, 0, 0, 10, 0, chars)
+    got = fences_of(spark, [row("en", "a", c) for c in (400, 410, 420, 430)] + [row("en", "b", c) for c in (500, 500, 510, 520, 530, 530, 540, 540)])
+    own = 420 + 7 * 20
+    lang = 530 + 7 * (530 - 420)
+    lang = (12 * lang + 100 * lang) / 112
+    assert abs(got["en", "a"]["word_length"] - (4 * own + 100 * lang) / 104) < 1e-9
+    own = 530 + 7 * 30
+    assert abs(got["en", "b"]["word_length"] - (8 * own + 100 * lang) / 108) < 1e-9
+
+
 def test_edges(spark):
     text = "one two three four five six seven eight nine ten eleven"
-    df = spark.createDataFrame([(1, text, None, None, 9), (1, text, None, None, 9), (2, None, "en", "s", 9), (3, "", "en", None, 9), (4, "x " * 50000, "en", "s", 9), (None, text, "en", "s", 9)], "doc_id long, text string, lang string, source string, kept int")
+    df = spark.createDataFrame([(1, text, None, None, 9, "p"), (1, text, None, None, 9, "p"), (2, None, "en", "s", 9, "p"), (3, "", "en", None, 9, "p"), (4, "x " * 50000, "en", "s", 9, "p"), (None, text, "en", "s", 9, "p")], "doc_id long, text string, lang string, source string, kept int, __lang string")
     got = quality_rules.judge(df).collect()
     assert sorted((r.doc_id or 0, r.kept, r.lang or "") for r in got) == [(0, True, "en"), (1, True, ""), (1, True, ""), (2, False, "en"), (3, False, "en"), (4, False, "en")]
     assert quality_rules.judge(df.limit(0)).count() == 0

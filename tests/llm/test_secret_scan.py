@@ -57,3 +57,46 @@ def test_letters_only(spark):
     got = {r.text: r.s for r in secret_scan.find(df, model).select("text", secret_scan.written(F.col("spans")).alias("s")).collect()}
     assert sum(got[f"see {k} here"] == "markov:4:24" for k in keys) > 180
     assert not any(got[f"see {x} here"] for x in plain)
+
+
+def test_whole_runs(spark):
+    """However long a key is, nothing of it stays behind, and none takes more than linear time."""
+    rng = random.Random(8)
+    keys = ["".join(rng.choice(string.ascii_letters + string.digits) for _ in range(n)) for n in (16, 255, 256, 257, 268, 272, 522, 100_000)]
+    odd = ["-" * 200_000, "a-" * 100_000, "/" * 100_000 + "x", "ab" * 100_000]
+    model = secret_scan.train(secret_scan.identifiers(spark.read.parquet("/root/testdata/sf0.001/documents.parquet")))
+    df = spark.createDataFrame([(i, f"the key: {k}, ends") for i, k in enumerate(keys)] + [(100 + i, x) for i, x in enumerate(odd)], "__run int, text string")
+    got = {r["__run"]: r.text for r in secret_scan.redact(secret_scan.find(df, model)).collect()}
+    assert all(got[i] == "the key: [REDACTED], ends" for i in range(len(keys)))
+    assert got[100] == odd[0] and len(got) == len(keys) + len(odd)
+
+
+RUN = re.compile(r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*[0-9])(?=[0-9+/_=-]*[A-Za-z])[A-Za-z0-9+/_=-]{16,}|(?:[A-Za-z0-9]|[+/_=-](?![+/_=-]{2})){16,}")
+
+
+def test_markov_spans(spark):
+    """The models' spans against plain Python over every document, hits and misses."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    model = secret_scan.train(secret_scan.identifiers(docs))
+    rng = random.Random(1)
+    docs = docs.select("text").union(spark.createDataFrame([(" ".join(["lead", "".join(rng.choice(string.ascii_letters + string.digits) for _ in range(n)), "trail_of_words_12"]),) for n in range(14, 60)], "text string"))
+    ratio = [float(f"{x:.6g}") for x in model["ratio"]]
+    found, runs = 0, 0
+    for r in secret_scan.find(docs, model).select("text", secret_scan.written(F.col("base")).alias("b"), secret_scan.written(F.col("spans")).alias("s")).collect():
+        spans = [(int(a), secret_scan.KINDS.index(k), int(b)) for k, a, b in (x.split(":") for x in r.b.split(",") if x)]
+        for m in RUN.finditer(r.text):
+            runs += 1
+            total = 0.0
+            for a, b in zip(m[0], m[0][1:]):
+                total += ratio[ord(a) * 128 + ord(b)]
+            if total / (len(m[0]) - 1) > model["threshold"] and not any(a < m.end() and m.start() < b for a, k, b in spans if k < 3):
+                spans.append((m.start(), 3, m.end()))
+                found += 1
+        assert r.s == ",".join(f"{secret_scan.KINDS[k]}:{a}:{b}" for a, k, b in sorted(spans))
+    assert found and runs > found
+
+
+def test_sample_of_copies(spark):
+    """A text that all rows share is drawn once at most."""
+    df = spark.range(5000).selectExpr("'alpha beta gamma delta epsilon zeta' AS text").union(spark.range(50).selectExpr("concat('word other thing ', id) AS text"))
+    assert secret_scan.identifiers(df, rows=200).where("label = 0").count() <= 51 * 12

@@ -82,23 +82,22 @@ def _rules_sql() -> str:
     word = "[^\\x20\\x09-\\x0D]"
     level = lambda k, keys: (
         f"r{k} AS (SELECT {keys} metric, bucket, sum(n) OVER (PARTITION BY {keys} metric ORDER BY bucket) AS upto, sum(n) OVER (PARTITION BY {keys} metric) AS total FROM (SELECT {keys} metric, bucket, sum(n) AS n FROM sk GROUP BY ALL)), "
-        f"l{k} AS (SELECT {keys} metric, max(total) AS n, min(bucket) FILTER (100 * upto >= {q.LOW} * total) AS low, min(bucket) FILTER (100 * upto >= {q.HIGH} * total) AS high FROM r{k} GROUP BY ALL)"
+        f"q{k} AS (SELECT {keys} metric, max(total) AS total, min(bucket) FILTER (100 * upto >= {q._by_metric(1)} * total) AS low, min(bucket) FILTER (100 * upto >= {q._by_metric(2)} * total) AS high FROM r{k} GROUP BY ALL), "
+        f"l{k} AS (SELECT {keys} metric, total::DOUBLE AS n, (high + {q._by_metric(3)} * (high - low))::DOUBLE AS own FROM q{k})"
     )
-    pick = lambda x: f"CASE WHEN l0.n >= {q.LEAST_ROWS} THEN l0.{x} WHEN l1.n >= {q.LEAST_ROWS} THEN l1.{x} ELSE l2.{x} END"
-    slack = "CASE l0.metric " + " ".join(f"WHEN '{m}' THEN {s}" for m, (_, s) in q.METRICS.items()) + " END"
-    values = " UNION ALL ".join(f"SELECT doc_id, lang, source, '{m}' AS metric, {sql.replace(' div ', ' // ')} AS v FROM m" for m, (sql, _) in q.METRICS.items())
+    values = " UNION ALL ".join(f"SELECT doc_id, lang, source, base_failed, '{m}' AS metric, {sql.replace(' div ', ' // ')} AS v FROM b" for m, (sql, *_) in q.METRICS.items())
     return f"""WITH w AS (SELECT doc_id, lang, source, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '{word}+') AS ws FROM documents),
 g AS (SELECT doc_id, i, ws[i:i + 4] AS g FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 3)) AS i FROM w)),
 rep AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, g) AS c FROM g) WHERE c > 1),
 cov AS (SELECT doc_id, count(DISTINCT i + k) AS n_repeat_words FROM rep, (SELECT unnest(range(0, 5)) AS k) GROUP BY doc_id),
 lw AS (SELECT doc_id, count(*) AS n_lines, count(*) - count(DISTINCT line) AS n_dup_lines FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS line FROM w) WHERE regexp_matches(line, '{word}') GROUP BY doc_id),
-m AS (SELECT doc_id, lang, source, len(ws) AS n_words, length(array_to_string(ws, '')) AS word_chars, length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS n_symbols, length(regexp_replace(t, '[^A-Z]', '', 'g')) AS n_upper, coalesce(n_repeat_words, 0) AS n_repeat_words, coalesce(n_lines, 0) AS n_lines, coalesce(n_dup_lines, 0) AS n_dup_lines FROM w LEFT JOIN cov USING (doc_id) LEFT JOIN lw USING (doc_id)),
+m AS (SELECT doc_id, lang, source, len(ws) AS n_words, length(array_to_string(ws, '')) AS word_chars, length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS n_symbols, length(regexp_replace(t, '[^A-Z]', '', 'g')) AS n_upper, length(regexp_replace(t, '[^\\p{{L}}]', '', 'g')) AS n_letters, coalesce(n_repeat_words, 0) AS n_repeat_words, coalesce(n_lines, 0) AS n_lines, coalesce(n_dup_lines, 0) AS n_dup_lines FROM w LEFT JOIN cov USING (doc_id) LEFT JOIN lw USING (doc_id)),
+b AS (SELECT *, {q.BASE_FAILED} AS base_failed FROM m),
 v AS ({values}),
-sk AS (SELECT lang, source, metric, CASE WHEN v < 1024 THEN v ELSE (v >> (length(bin(v)) - 10)) << (length(bin(v)) - 10) END AS bucket, count(*) AS n FROM v GROUP BY ALL),
+sk AS (SELECT lang, source, metric, CASE WHEN v < 1024 THEN v ELSE (v >> (length(bin(v)) - 10)) << (length(bin(v)) - 10) END AS bucket, count(*) AS n FROM v WHERE NOT base_failed GROUP BY ALL),
 {level(0, 'lang, source,')}, {level(1, 'lang,')}, {level(2, '')},
-f AS (SELECT l0.lang, l0.source, l0.metric, {pick('high')} + {q.WIDTH} * ({pick('high')} - {pick('low')}) + {slack} AS fence FROM l0 JOIN l1 ON l0.lang IS NOT DISTINCT FROM l1.lang AND l0.metric = l1.metric JOIN l2 ON l0.metric = l2.metric),
-o AS (SELECT doc_id, bool_or(v > fence) AS outlier FROM v JOIN f ON v.lang IS NOT DISTINCT FROM f.lang AND v.source IS NOT DISTINCT FROM f.source AND v.metric = f.metric GROUP BY doc_id),
-b AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM m)
+f AS (SELECT l0.lang, l0.source, l0.metric, (l0.n * l0.own + {q.PRIOR_ROWS} * ((l1.n * l1.own + {q.PRIOR_ROWS} * l2.own) / (l1.n + {q.PRIOR_ROWS}))) / (l0.n + {q.PRIOR_ROWS}) AS fence FROM l0 JOIN l1 ON l0.lang IS NOT DISTINCT FROM l1.lang AND l0.metric = l1.metric JOIN l2 ON l0.metric = l2.metric),
+o AS (SELECT doc_id, bool_or(coalesce(v > fence, false)) AS outlier FROM v LEFT JOIN f ON v.lang IS NOT DISTINCT FROM f.lang AND v.source IS NOT DISTINCT FROM f.source AND v.metric = f.metric GROUP BY doc_id)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT outlier AS kept, n_lines, n_upper FROM b JOIN o USING (doc_id)"""
 
 

@@ -14,6 +14,8 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .shared import unused
+
 KINDS = ["assign", "access", "hex", "markov"]
 VALUE = "[A-Za-z0-9+/_.=-]"
 ASSIGN = rf"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?({VALUE}+)"""
@@ -21,8 +23,9 @@ ASSIGN = rf"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?
 ACCESS = "AKIA[A-Z0-9]{12,}"
 HEX = "[0-9a-f]{32,}"
 RUN = "A-Za-z0-9+/_=-"
-#: Runs of 16 to 256 token characters; a longer run is scored in pieces. Where letters or digits are missing, three marks in a row, as in ruled lines, end a run.
-CANDIDATE = "(?=[" + RUN + "]{16})(?:(?=[A-Za-z+/_=-]{0,255}[0-9])(?=[0-9+/_=-]{0,255}[A-Za-z])[" + RUN + "]{16,256}|(?:[A-Za-z0-9]|[+/_=-](?![+/_=-]{2})){16,256})"
+#: Whole runs of 16 and more token characters, however long. Where letters or digits are missing, three marks in a row, as in ruled lines, end a run.
+#: The lookaheads start at a run's beginning only and nothing is given back, so that a text takes linear time and no stack.
+CANDIDATE = "(?<![" + RUN + "])(?=[A-Za-z+/_=-]*+[0-9])(?=[0-9+/_=-]*+[A-Za-z])[" + RUN + "]{16,}+|(?:[A-Za-z0-9]|[+/_=-](?![+/_=-]{2})){16,}+"
 SPAN = "array<struct<start:bigint,kind:int,end:bigint>>"
 
 
@@ -49,16 +52,17 @@ def _spans(found: Column, kind: int, keep=None) -> Column:
 
 
 def identifiers(docs: DataFrame, rows: int = 2000) -> DataFrame:
-    """Labelled samples (sample, label) from about `rows` documents, drawn by a hash of the text.
+    """Labelled samples (sample, label) from about `rows` distinct texts, drawn by a hash of the text, whole texts each.
 
-    Label 0: their words, and identifiers made of two or three neighbouring ones
+    Copies of a drawn text count once, so that a text repeated by a third of all
+    rows can't swell the sample. Null texts count as empty. Label 0: their words, and identifiers made of two or three neighbouring ones
     with underscores, hyphens, capitals and small numbers. Label 1: the values
     that the patterns find, and digests written in base 64, 36 and 16.
     """
     n = docs.count()
     text = F.coalesce(F.col("text"), F.lit(""))
-    drawn = docs.select(text.alias("text")).where(F.pmod(F.xxhash64("text"), F.lit(1 << 30)) < min(1.0, rows / max(n, 1)) * (1 << 30))
-    words = F.slice(F.regexp_extract_all("text", F.lit("[A-Za-z]{2,}"), F.lit(0)), 1, 400)
+    drawn = docs.select(text.alias("text")).where(F.pmod(F.xxhash64("text"), F.lit(1 << 30)) < min(1.0, rows / max(n, 1)) * (1 << 30)).distinct()
+    words = F.regexp_extract_all("text", F.lit("[A-Za-z]{2,}"), F.lit(0))
     trio = drawn.select(words.alias("w")).select(F.explode(F.expr("transform(sequence(0, size(w) div 3), i -> struct(get(w, 3 * i) as a, get(w, 3 * i + 1) as b, get(w, 3 * i + 2) as c, i))")).alias("x")).select("x.*").where("c is not null")
     made = trio.select(
         F.explode(
@@ -110,7 +114,7 @@ def train(samples: DataFrame, smoothing: float = 0.5, floor: float = 2.0, slack:
             p = [(counts.get((label, a, b), 0) + smoothing) / (totals[label, a] + smoothing * len(alphabet)) for label in (0, 1)]
             ratio[a * 128 + b] = math.log(p[1] / p[0])
     model = {"ratio": ratio, "threshold": floor}
-    ordinary = samples.where("label = 0 and length(sample) between 16 and 256").select(score(F.col("sample"), model).alias("s"))
+    ordinary = samples.where("label = 0 and length(sample) >= 16").select(score(F.col("sample"), model).alias("s"))
     high = ordinary.agg(F.percentile_approx("s", 0.999, 10000)).first()[0]
     if high is not None:
         model["threshold"] = max(floor, high + slack)
@@ -118,11 +122,15 @@ def train(samples: DataFrame, smoothing: float = 0.5, floor: float = 2.0, slack:
 
 
 def score(token: Column, model: dict) -> Column:
-    """The mean log-likelihood ratio per transition of an ASCII token: above 0, rather random."""
+    """The mean log-likelihood ratio per transition of an ASCII token of two or more characters: above 0, rather random."""
     table = F.split(F.lit(",".join(f"{x:.6g}" for x in model["ratio"])), ",").cast("array<double>")
-    code = lambda i: F.ascii(F.substring(token, i, F.lit(1)))
-    total = F.aggregate(F.sequence(F.lit(1), F.length(token) - 1), F.lit(0.0), lambda acc, i: acc + F.get(table, code(i) * 128 + code(i + 1)))
-    return total / (F.length(token) - 1)
+    start = F.struct(F.lit(0).alias("last"), F.lit(0.0).alias("sum"))
+
+    def step(acc: Column, char: Column) -> Column:
+        code = F.ascii(char)
+        return F.struct(code.alias("last"), (acc["sum"] + F.when(acc["last"] > 0, F.get(table, acc["last"] * 128 + code)).otherwise(0.0)).alias("sum"))
+
+    return F.aggregate(F.split(token, ""), start, step, lambda a: a["sum"]) / (F.length(token) - 1)
 
 
 def find(docs: DataFrame, model: dict, text: str = "text") -> DataFrame:
@@ -130,18 +138,20 @@ def find(docs: DataFrame, model: dict, text: str = "text") -> DataFrame:
 
     base has the patterns' spans: per kind leftmost and not overlapping, assigned
     values of fewer than 8 characters dropped after matching. spans has these
-    and the runs that the models take for secrets and no base span touches. A
-    null text counts as empty; rows are independent; columns of those names are
-    replaced; whole texts are searched.
+    and the runs that the models take for secrets and no base span touches: a
+    run is scored and marked whole, at any length. A null text counts as empty;
+    rows are independent, repeated ones too; columns of those names are
+    replaced, all others stay; whole texts are searched.
     """
     body = F.coalesce(F.col(text), F.lit(""))
     docs = docs.drop("base", "spans")
-    hits = docs.withColumns({"__assign": located(body, ASSIGN, 1), "__access": located(body, ACCESS), "__hex": located(body, HEX), "__run": located(body, CANDIDATE)})
-    base = F.array_sort(F.concat(_spans(F.col("__assign"), 0, lambda x: F.length(x["value"]) >= 8), _spans(F.col("__access"), 1), _spans(F.col("__hex"), 2)))
+    assign, access, digits, run = (unused(docs.columns, x) for x in ("assign", "access", "hex", "run"))
+    hits = docs.withColumns({assign: located(body, ASSIGN, 1), access: F.when(body.contains("AKIA"), located(body, ACCESS)), digits: located(body, HEX), run: located(body, CANDIDATE)})
+    base = F.array_sort(F.concat(_spans(F.col(assign), 0, lambda x: F.length(x["value"]) >= 8), _spans(F.col(access), 1), _spans(F.col(digits), 2)))
     based = hits.withColumn("base", base)
     free = lambda x: ~F.exists(F.col("base"), lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"]))
-    runs = _spans(F.col("__run"), 3, lambda x: free(x) & (score(x["value"], model) > model["threshold"]))
-    return based.withColumn("spans", F.array_sort(F.concat(F.col("base"), runs))).drop("__assign", "__access", "__hex", "__run")
+    runs = _spans(F.col(run), 3, lambda x: free(x) & (score(x["value"], model) > model["threshold"]))
+    return based.withColumn("spans", F.array_sort(F.concat(F.col("base"), runs))).drop(assign, access, digits, run)
 
 
 def written(spans: Column) -> Column:

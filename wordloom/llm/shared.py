@@ -32,6 +32,14 @@ def claim(name: str, clear: Callable[[], None]) -> None:
         _OWNER[:] = [name, clear]
 
 
+def unused(columns: list[str], name: str) -> str:
+    """A column name like `name` that none of these has, whatever the case."""
+    taken = {c.lower() for c in columns}
+    while (name := f"__{name}").lower() in taken:
+        pass
+    return name
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -86,10 +94,10 @@ def append_columns(df: DataFrame, uses: list[str], make: Callable[[Iterator[list
     """
     small_batches(df.sparkSession)
     new = {n for n, _ in fields}
-    clash = [c for c in df.columns if c in new]
+    clash = {c: unused(df.columns, f"in_{c}") for c in df.columns if c in new}
     kept = [c for c in df.columns if c not in new]
-    src = df.select(*[F.col(f"`{c}`") for c in kept], *[F.col(f"`{c}`").alias(f"__in_{c}") for c in clash if c in uses])
-    names = [f"__in_{c}" if c in clash else c for c in uses]
+    src = df.select(*[F.col(f"`{c}`") for c in kept], *[F.col(f"`{c}`").alias(clash[c]) for c in clash if c in uses])
+    names = [clash.get(c, c) for c in uses]
     schema = T.StructType([*[df.schema[c] for c in kept], *[T.StructField(n, t) for n, t in fields]])
     types = [ARROW[t] for _, t in fields]
 
