@@ -2,20 +2,20 @@
 
 A document is the set of its five-word shingles; two are near duplicates where
 the sets' Jaccard similarity is 0.8 or more, and classes are the connected
-components. Documents of equal sets are one. The others are dealt to shards by
-pairs of min-hashes (eight keys each, which all fail to bring together a pair
-of similarity 0.8 with a chance of 0.0003). Each shard links its documents'
-128-bit SimHashes in a navigable small-world graph and searches it for every
-document, with beams that widen until the exact search of a sample is matched;
-an exact sweep then audits the whole shard for pairs that are still apart. A
-pair counts only once its sets are compared. Shards give the edges that join
-something, at most one fewer than they have documents.
+components. Documents of equal sets are one. The others are dealt to shards of
+about 1,000 by pairs of min-hashes (eight keys each, which all fail to bring
+together a pair of similarity 0.8 with a chance of 0.0003). Each shard links its
+documents' 128-bit SimHashes in a navigable small-world graph, and every
+document of the shard is a query to it. A query whose beam is full of candidates
+is asked again with a wider one, the widest being the whole shard. The recall of
+the beams is audited against exact search of a sample in every shard; where it
+falls short, the shard is searched again with wider beams. A pair counts only
+once its sets are compared. Shards give the edges that join something, at most
+one fewer than they have documents, and what their audits counted.
 """
 
 from __future__ import annotations
 
-import heapq
-
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -23,17 +23,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .quality_rules import words_of
-from .shared import Scratch, claim
+from .shared import Scratch, claim, unused
 
 SHINGLE, SIMILAR = 5, 0.8
 KEYS, ROWS = 8, 2
 #: Bits that may differ between candidates of 128. At similarity 0.8 about 19 do, with a deviation of 4; between strangers 64.
 BITS = 44
-#: Documents in a shard, or in a block of a larger one.
-SHARD = 2048
-#: Shards up to this size are searched exactly at once: a beam would take in all of them.
-SMALL = 48
-LINKS, BEAMS, AUDITED = 12, (8, 32, 128), 16
+#: Documents in a shard, as planned; a key of more than SHARD has shards of its own.
+PLANNED, SHARD = 1024, 2048
+#: Links that a new node gets, and room for those it is given later; the beams; queries audited in each shard, and the recall below which its beams widen.
+LINKS, ROOM, BEAMS, AUDITED, GOAL = 12, 36, (16, 32, 64, 128), 16, 0.95
+FAR = 1 << 20
 WORDS = 300_000
 
 _RNG = np.random.default_rng(20240501)
@@ -83,38 +83,38 @@ def keys(s: np.ndarray) -> list[int]:
 
 
 def signatures(docs: DataFrame) -> DataFrame:
-    """doc_id, the set's hash (null: no word), SimHash and keys of docs(doc_id, text); nothing of the text itself."""
+    """doc_id, the text's tag, and of its set the hash (null: no word), SimHash and keys of docs(doc_id, text); nothing of the text itself."""
 
     def make(batches):
         claim("simhash_dedup", _HASHES.clear)
         for batch in batches:
             for at in range(0, batch.num_rows, 1024):
                 part = batch.slice(at, 1024)
-                out: list[list] = [[], [], [], []]
+                out: list[list] = [[], [], []]
                 for text in part.column("text").to_pylist():
                     s = shingles(text)
-                    row = (xxhash.xxh128_digest(s.tobytes()), len(s), simhash(s), keys(s)) if len(s) else (None, 0, None, None)
+                    row = (xxhash.xxh128_digest(s.tobytes()), simhash(s), keys(s)) if len(s) else (None, None, None)
                     for col, x in zip(out, row):
                         col.append(x)
-                types = [pa.binary(), pa.int64(), pa.binary(), pa.list_(pa.int64())]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), *[pa.array(x, t) for x, t in zip(out, types)]], names=["doc_id", "same", "n", "bits", "keys"])
+                types = [pa.binary(), pa.binary(), pa.list_(pa.int64())]
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("tag"), *[pa.array(x, t) for x, t in zip(out, types)]], names=["doc_id", "tag", "same", "bits", "keys"])
 
-    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return slim.mapInArrow(make, "doc_id long, same binary, n long, bits binary, keys array<long>")
+    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("tag"), F.col("text").cast("string").alias("text"))
+    return slim.mapInArrow(make, "doc_id long, tag long, same binary, bits binary, keys array<long>")
 
 
 def sets_of(docs: DataFrame) -> DataFrame:
-    """doc_id and its set as 32-bit hashes (sorted, little-endian), for comparing."""
+    """The hash of each text's set, and the set as 32-bit hashes (sorted, little-endian), for comparing."""
 
     def make(batches):
         claim("simhash_dedup", _HASHES.clear)
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                raw = [np.unique((shingles(t) >> np.uint64(32)).astype("<u4")).tobytes() for t in part.column("text").to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(raw, pa.binary())], names=["doc_id", "set"])
+                own = [shingles(t) for t in batch.column("text").slice(at, 256).to_pylist()]
+                raw = [np.unique((s >> np.uint64(32)).astype("<u4")).tobytes() for s in own]
+                yield pa.RecordBatch.from_arrays([pa.array([xxhash.xxh128_digest(s.tobytes()) for s in own], pa.binary()), pa.array(raw, pa.binary())], names=["same", "set"])
 
-    return docs.select("doc_id", "text").mapInArrow(make, "doc_id long, set binary")
+    return docs.select("text").mapInArrow(make, "same binary, set binary")
 
 
 def similarity(a: np.ndarray, b: np.ndarray) -> float:
@@ -127,134 +127,184 @@ def similarity(a: np.ndarray, b: np.ndarray) -> float:
     return common / (len(both) - common)
 
 
-def distances(bits: np.ndarray, row: int, rows: np.ndarray | slice) -> np.ndarray:
-    return np.bitwise_count(bits[rows] ^ bits[row]).sum(1, dtype=np.int64)
+def distances(bits: np.ndarray, rows: np.ndarray, others: np.ndarray) -> np.ndarray:
+    """Bits in which each row differs from its others: a row of them for each, or one for all."""
+    return np.bitwise_count(bits[others] ^ bits[rows][:, None]).sum(2, dtype=np.int64)
 
 
 class SmallWorld:
-    """A navigable small-world graph over Hamming distance: every node is linked both ways to the nearest found when it came in."""
-
-    def __init__(self, bits: np.ndarray):
-        self.bits, self.links = bits, [[] for _ in bits]
-        for row in range(1, len(bits)):
-            for _, other in self.search(row, LINKS, row)[:LINKS]:
-                self.links[row].append(other)
-                self.links[other].append(row)
-
-    def search(self, row: int, beam: int, known: int) -> list[tuple[int, int]]:
-        """(distance, node) of the nearest to `row` among the first `known` nodes, as a beam of this width finds them."""
-        start = [*{0, known // 2, known - 1}]
-        seen = {row, *start}
-        near = [(int(d), s) for d, s in zip(distances(self.bits, row, start), start)] if known else []
-        front = list(near)
-        heapq.heapify(front)
-        best = [(-d, s) for d, s in near]
-        heapq.heapify(best)
-        while front:
-            d, node = heapq.heappop(front)
-            if len(best) >= beam and d > -best[0][0]:
-                break
-            fresh = [x for x in self.links[node] if x not in seen]
-            if not fresh:
-                continue
-            seen.update(fresh)
-            for e, x in zip(distances(self.bits, row, fresh).tolist(), fresh):
-                if len(best) < beam or e < -best[0][0]:
-                    heapq.heappush(front, (e, x))
-                    heapq.heappush(best, (-e, x))
-                    if len(best) > beam:
-                        heapq.heappop(best)
-        return sorted((-d, s) for d, s in best if s != row)
+    """A navigable small-world graph over Hamming distance of the first `count` rows.
+
+    Nodes come in by batches that double; each is linked both ways to the
+    nearest that a search of the graph so far, and its own batch, hold. A full
+    list of links gives up a later one, never the node's own. All searches of a
+    batch walk at once.
+    """
+
+    def __init__(self, bits: np.ndarray, count: int, beam: int = 24):
+        self.bits, self.links, self.degree = bits, np.full((count, ROOM), -1, np.int64), np.zeros(count, np.int64)
+        self.known, self.rng = min(count, 32), np.random.default_rng(count)
+        none = np.zeros((self.known, 0), np.int64)
+        self.join(np.arange(self.known), none, none)
+        while self.known < count:
+            new = np.arange(self.known, min(count, 2 * self.known, self.known + 256))
+            self.join(new, *self.search(new, beam))
+            self.known = int(new[-1]) + 1
+
+    def join(self, new: np.ndarray, near: np.ndarray, dist: np.ndarray) -> None:
+        own = distances(self.bits, new, new[None])
+        np.fill_diagonal(own, FAR)
+        ids, dist = np.concatenate([near, np.broadcast_to(new, own.shape)], 1), np.concatenate([dist, own], 1)
+        k = min(LINKS, dist.shape[1])
+        at = np.argpartition(dist, k - 1, 1)[:, :k]
+        real = (np.take_along_axis(dist, at, 1) < FAR).ravel()
+        row, other = np.repeat(new, k)[real], np.take_along_axis(ids, at, 1).ravel()[real]
+        width = len(self.bits)
+        row, other = np.divmod(np.unique(np.concatenate([row * width + other, other * width + row])), width)
+        slot = self.degree[row] + np.arange(len(row)) - np.searchsorted(row, row)
+        full = slot >= ROOM
+        slot[full] = self.rng.integers(LINKS, ROOM, full.sum())
+        self.links[row, slot] = other
+        np.maximum.at(self.degree, row, slot + 1)
+
+    def search(self, rows: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray]:
+        """For each row the nearest nodes that a beam of this width finds, and their distances; where there are fewer, FAR."""
+        known = self.known
+        seen = np.zeros((len(rows), known + 1), bool)
+        ids, dist, done = np.full((len(rows), beam), -1), np.full((len(rows), beam), FAR), np.zeros((len(rows), beam), bool)
+        seen[rows < known, rows[rows < known]] = True
+        fresh = np.tile(np.unique(np.linspace(0, known - 1, 4).astype(int)), (len(rows), 1))
+        inside = np.flatnonzero(rows < known)
+        if len(inside):
+            first = np.full((len(rows), ROOM), -1)
+            first[inside] = self.links[rows[inside]]
+            fresh = np.concatenate([fresh, first], 1)
+        live = np.arange(len(rows))
+        while len(live):
+            new = np.where((fresh >= 0) & (fresh < known), fresh, known)
+            new = np.where(np.take_along_axis(seen[live], new, 1), known, new)
+            new.sort(1)
+            new[:, 1:][new[:, 1:] == new[:, :-1]] = known
+            seen[live[:, None], new] = True
+            seen[:, known] = False
+            real = new < known
+            d = np.where(real, distances(self.bits, rows[live], np.where(real, new, 0)), FAR)
+            both = [np.concatenate(x, 1) for x in ((ids[live], np.where(real, new, -1)), (dist[live], d), (done[live], np.zeros(new.shape, bool)))]
+            at = np.argpartition(both[1], beam - 1, 1)[:, :beam]
+            ids[live], dist[live], done[live] = (np.take_along_axis(x, at, 1) for x in both)
+            ahead = np.where(done[live] | (ids[live] < 0), FAR, dist[live])
+            pick = ahead.argmin(1)
+            go = ahead[np.arange(len(live)), pick] < FAR
+            live, pick = live[go], pick[go]
+            done[live, pick] = True
+            fresh = self.links[ids[live, pick]]
+        return ids, dist
 
 
 class Shard:
-    """Documents of one shard: which belong together, by verified pairs only."""
+    """Documents of one shard: which belong together, by verified pairs only. Only the first `count` are in its graph; if not all are, the others ask."""
 
-    def __init__(self, bits: np.ndarray, sets: list[np.ndarray], side: np.ndarray | None = None):
-        self.bits, self.sets, self.side = bits, sets, side
+    def __init__(self, bits: np.ndarray, sets: list[np.ndarray], count: int | None = None):
+        self.bits, self.sets, self.count = bits, sets, len(sets) if count is None else count
         self.root, self.edges, self.failed = np.arange(len(sets)), [], set()
 
-    def try_pair(self, a: int, b: int) -> None:
-        a, b = min(a, b), max(a, b)
-        if self.root[a] == self.root[b] or (a, b) in self.failed or self.side is not None and self.side[a] == self.side[b]:
-            return
-        if similarity(self.sets[a], self.sets[b]) >= SIMILAR:
-            self.root[self.root == self.root[b]] = self.root[a]
-            self.edges.append((a, b))
-        else:
-            self.failed.add((a, b))
-
-    def graph(self) -> None:
-        """Candidates from the graph; the beam widens until a sample's exact candidates are all found, or it is at its widest."""
-        world, n = SmallWorld(self.bits), len(self.bits)
-        sample = np.unique(np.linspace(0, n - 1, AUDITED).astype(int))
-        exact = {r: set(np.flatnonzero(distances(self.bits, r, slice(None)) <= BITS).tolist()) - {r} for r in sample.tolist()}
+    def try_pairs(self, rows: np.ndarray, others: np.ndarray) -> None:
+        for a, b in zip(rows.tolist(), others.tolist()):
+            if self.root[a] == self.root[b] or (pair := (min(a, b), max(a, b))) in self.failed:
+                continue
+            if similarity(self.sets[a], self.sets[b]) >= SIMILAR:
+                self.root[self.root == self.root[b]] = self.root[a]
+                self.edges.append(pair)
+            else:
+                self.failed.add(pair)
+
+    def audit(self, world: SmallWorld, sample: np.ndarray, beam: int) -> tuple[int, int]:
+        """Candidates that the sample's rows have by exact search, and how many of them a beam of this width finds; one that is full is not the last."""
+        exact = distances(self.bits, sample, np.arange(self.count)[None]) <= BITS
+        exact &= sample[:, None] != np.arange(self.count)
+        ids, dist = world.search(sample, beam)
+        hit = np.zeros((len(sample), self.count + 1), bool)
+        np.put_along_axis(hit, np.where(ids < 0, self.count, ids), True, 1)
+        hit[(dist <= BITS).all(1)] = True
+        return int(exact.sum()), int((exact & hit[:, :-1]).sum())
+
+    def link(self) -> tuple[list[tuple[int, int]], tuple[int, int]]:
+        """Verified pairs that join the shard's documents as far as they belong together, and the audit's counts."""
+        asking = np.arange(0 if self.count == len(self.sets) else self.count, len(self.sets))
+        world = SmallWorld(self.bits, self.count)
+        sample = asking[np.unique(np.linspace(0, len(asking) - 1, AUDITED).astype(int))]
         for beam in BEAMS:
-            if all(len(want := exact[r]) == 0 or len(want & {x for _, x in world.search(r, beam, n)}) >= 0.95 * min(beam, len(want)) for r in exact):
+            want, got = self.audit(world, sample, beam)
+            if got >= GOAL * want:
                 break
-        for row in range(n):
-            for d, other in world.search(row, beam, n):
-                if d <= BITS:
-                    self.try_pair(row, other)
-
-    def sweep(self) -> int:
-        """The exact audit: every pair within BITS that is still apart is tried; how many were joined."""
-        joined = len(self.edges)
-        for row in range(len(self.bits) - 1):
-            near = np.flatnonzero((distances(self.bits, row, slice(row + 1, None)) <= BITS) & (self.root[row + 1 :] != self.root[row]))
-            for other in (near + row + 1).tolist():
-                self.try_pair(row, other)
-        return len(self.edges) - joined
-
-    def link(self) -> list[tuple[int, int]]:
-        if len(self.sets) > SMALL:
-            self.graph()
-        self.sweep()
-        return self.edges
-
-
-def edges(reps: DataFrame, docs: DataFrame, scratch: Scratch, shard: int = SHARD) -> DataFrame:
-    """Verified pairs (a, b) of ids that connect what is near; reps has a row per distinct set, docs their texts."""
-    dealt = scratch.keep(reps.select("doc_id", "bits", F.posexplode("keys").alias("k", "key")), "dealt")
+        while len(asking) and beam < self.count:
+            full = []
+            for at in range(0, len(asking), 512):
+                rows = asking[at : at + 512]
+                ids, dist = world.search(rows, beam)
+                row, col = np.nonzero(dist <= BITS)
+                order = np.argsort(dist[row, col], kind="stable")
+                self.try_pairs(rows[row[order]], ids[row[order], col[order]])
+                full.append(rows[(dist <= BITS).all(1)])
+            asking, beam = np.concatenate(full), 4 * beam
+            if beam > BEAMS[-1]:
+                break
+        # The widest beam, for queries that are still full (or where every beam is as wide): all nodes that are not joined yet.
+        for row in asking.tolist():
+            near = np.flatnonzero((distances(self.bits, np.array([row]), np.arange(self.count)[None])[0] <= BITS) & (self.root[: self.count] != self.root[row]))
+            self.try_pairs(np.full(len(near), row), near)
+        return self.edges, (want, got)
+
+
+def edges(reps: DataFrame, docs: DataFrame, scratch: Scratch, shard: int = SHARD, planned: int = PLANNED) -> DataFrame:
+    """Verified pairs (a, b) of sets' hashes that connect what is near, and with null hashes a row of each shard's audit: candidates wanted and got.
+
+    reps has a row per distinct set, docs the texts by doc_id.
+    """
+    dealt = scratch.keep(reps.select("doc_id", "same", "bits", F.posexplode("keys").alias("k", "key")), "dealt")
     counts = dealt.groupBy("k", "key").agg(F.count("*").alias("n")).where("n > 1")
     # Merge joins are asked for, so that the plan (and what it writes) is the same at every size.
     shared = scratch.keep(dealt.join(counts.hint("merge"), ["k", "key"]), "shared")
     sets = sets_of(docs.join(shared.select("doc_id").distinct().hint("merge"), "doc_id", "left_semi"))
-    # A larger shard is cut into blocks, and each document meets every block of its shard once.
+    shards = max(1, -(-shared.where(F.col("n") <= shard).count() // planned))
+    # Keys share a shard, as they fall; one of more than `shard` documents is cut into blocks instead, and each document meets every block of it once.
+    key = F.xxhash64("k", "key")
     blocks = F.ceil(F.col("n") / shard).cast("int")
-    mine = F.pmod(F.xxhash64("doc_id"), blocks).cast("int")
-    placed = shared.select("k", "key", "doc_id", "bits", mine.alias("own"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("met"))
-    # The same set is compared within a shard once for each row: repeated rows of one id are not.
-    full = placed.join(sets.dropDuplicates(["doc_id"]).hint("merge"), "doc_id")
-    name = F.xxhash64("k", "key", F.least("own", "met"), F.greatest("own", "met"))
-    ordered = full.select(name.alias("shard"), F.least("own", "met").alias("low"), F.greatest("own", "met").alias("high"), "own", "doc_id", "bits", "set").repartition("shard").sortWithinPartitions("shard", "low", "high", "doc_id")
-
-    def flush(rows: list[tuple]) -> list[tuple[int, int]]:
-        if len(rows) < 2:
+    mine = F.pmod(F.xxhash64("same"), blocks).cast("int")
+    name = F.when(F.col("n") <= shard, F.pmod(key, F.lit(shards))).otherwise(-1 - F.pmod(key, F.lit(1 << 62)))
+    placed = shared.select("same", "bits", name.alias("shard"), mine.alias("own"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("met"))
+    # A document that several keys put into one shard is there once; so are texts whose sets are equal.
+    once = placed.select("same", "bits", "shard", "own", F.least("own", "met").alias("low"), F.greatest("own", "met").alias("high")).repartition("same").dropDuplicates(["same", "shard", "low", "high"])
+    full = once.join(sets.dropDuplicates(["same"]).hint("merge"), "same")
+    ordered = full.select("shard", "low", "high", "own", "same", "bits", "set").repartition("shard", "low", "high").sortWithinPartitions("shard", "low", "high", "own", "same")
+
+    def flush(rows: list[tuple]) -> list[tuple]:
+        if not rows:
+            return []
+        (_, low, high), bits = rows[0][0], np.frombuffer(b"".join(r[3] for r in rows), np.uint64).reshape(-1, 2)
+        # Of two blocks, the first is the graph and the second asks.
+        count = sum(r[1] == low for r in rows) if low != high else len(rows)
+        if not 0 < count or low != high and count == len(rows):
             return []
-        bits = np.frombuffer(b"".join(r[3] for r in rows), np.uint64).reshape(-1, 2)
-        sets = [np.frombuffer(r[4], "<u4") for r in rows]
-        if len(rows) == 2:
-            return [(rows[0][2], rows[1][2])] if similarity(*sets) >= SIMILAR else []
-        side = np.array([r[1] for r in rows]) if rows[0][0][1] != rows[0][0][2] else None
-        return [(rows[a][2], rows[b][2]) for a, b in Shard(bits, sets, side).link()]
+        found, (want, got) = Shard(bits, [np.frombuffer(r[4], "<u4") for r in rows], count).link()
+        return [(rows[a][2], rows[b][2], None, None) for a, b in found] + [(None, None, want, got)]
 
-    def pairs(rows: list[tuple[int, int]]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.int64()) for k in (0, 1)], names=["a", "b"])
+    def table(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.binary(), pa.binary(), pa.int64(), pa.int64()))], names=["a", "b", "want", "got"])
 
     def run(batches):
         held: list[tuple] = []
         for batch in batches:
-            out: list[tuple[int, int]] = []
-            for s, low, high, own, doc, bits, raw in zip(*(batch.column(k).to_pylist() for k in range(7))):
+            out: list[tuple] = []
+            for s, low, high, own, same, bits, raw in zip(*(batch.column(k).to_pylist() for k in range(7))):
                 if held and held[0][0] != (s, low, high):
                     out += flush(held)
                     held = []
-                held.append(((s, low, high), own, doc, bits, raw))
-            yield pairs(out)
-        yield pairs(flush(held))
+                held.append(((s, low, high), own, same, bits, raw))
+            yield table(out)
+        yield table(flush(held))
 
-    return ordered.mapInArrow(run, "a long, b long").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    return ordered.mapInArrow(run, "a binary, b binary, want long, got long")
 
 
 def components(pairs: DataFrame, scratch: Scratch) -> DataFrame:
@@ -281,24 +331,42 @@ def components(pairs: DataFrame, scratch: Scratch) -> DataFrame:
     return labels
 
 
+def labelled(docs: DataFrame, shard: int = SHARD, planned: int = PLANNED) -> tuple[DataFrame, DataFrame]:
+    """A row per row of docs: doc_id, tag, root (the class: one of its sets' hashes; null: no word) and class_id; and the audits: shards, candidates wanted and got."""
+    scratch = Scratch(docs.sparkSession, "near")
+    signed = scratch.keep(signatures(docs), "signatures")
+    # The min of a struct is partial before the shuffle, so thousands of copies are no load; bits and keys are equal in all.
+    reps = scratch.keep(signed.where("same IS NOT NULL AND doc_id IS NOT NULL").groupBy("same").agg(F.min("doc_id").alias("doc_id"), F.first("bits").alias("bits"), F.first("keys").alias("keys")), "reps")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    found = scratch.keep(edges(reps, texts, scratch, shard, planned), "edges")
+    pairs = found.where("a IS NOT NULL").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    joined = components(pairs, scratch).withColumnsRenamed({"id": "same", "class": "root"})
+    rooted = scratch.keep(reps.select("same", "doc_id").join(joined, "same", "left").select("same", "doc_id", F.coalesce("root", "same").alias("root")), "rooted")
+    first = rooted.groupBy("root").agg(F.min("doc_id").alias("class"))
+    named = rooted.select("same", "root").join(first, "root")
+    out = signed.select("doc_id", "tag", "same").join(named, "same", "left").select("doc_id", "tag", "root", F.when(F.col("doc_id").isNotNull(), F.coalesce("class", "doc_id")).alias("class_id"))
+    return out, found.where("a IS NULL").agg(F.count("*").alias("shards"), F.sum("want").alias("wanted"), F.sum("got").alias("got"))
+
+
 def classes(docs: DataFrame, shard: int = SHARD) -> DataFrame:
     """doc_id and class_id (the class's smallest doc_id), a row per row of docs(doc_id, text).
 
     Documents without a word, null texts included, are classes of their own;
-    a null doc_id has a null class. Rows of one doc_id count as one document.
-    Other columns are left out, and an empty table stays empty.
+    a null doc_id has a null class. Rows that share a doc_id are judged each by
+    its own text. Other columns are left out, and an empty table stays empty.
     """
-    scratch = Scratch(docs.sparkSession, "near")
-    signed = scratch.keep(signatures(docs), "signatures")
-    # The min of a struct is partial before the shuffle, so thousands of copies are no load; bits and keys are equal in all.
-    reps = scratch.keep(signed.where("same IS NOT NULL AND doc_id IS NOT NULL").groupBy("same").agg(F.min("doc_id").alias("doc_id"), F.first("bits").alias("bits"), F.first("keys").alias("keys")), "reps")
-    found = components(edges(reps, docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), scratch, shard), scratch)
-    named = reps.select("same", F.col("doc_id").alias("id")).join(found, "id", "left").select("same", F.coalesce("class", "id").alias("class"))
-    return signed.select("doc_id", "same").join(named, "same", "left").select("doc_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("class", "doc_id")).alias("class_id"))
+    return labelled(docs, shard)[0].select("doc_id", "class_id")
 
 
 def keep_one(docs: DataFrame, shard: int = SHARD) -> DataFrame:
-    """docs without all but one document of each class: that with the smallest doc_id, of its repeated rows one. Null doc_ids stay."""
-    found = classes(docs, shard).where("doc_id = class_id").select(F.col("doc_id").alias("__id")).distinct().hint("merge")
-    some = docs.where("doc_id IS NOT NULL").join(found, F.col("doc_id") == F.col("__id"), "left_semi").dropDuplicates(["doc_id"])
-    return some.unionByName(docs.where("doc_id IS NULL"))
+    """docs without all but one document of each class: that with the smallest doc_id (of texts that share it, the smallest hash), of equal rows one.
+
+    Documents without a word stay, and so do those with a null doc_id.
+    """
+    found = labelled(docs, shard)[0].where("doc_id IS NOT NULL")
+    best = found.where("root IS NOT NULL").groupBy("root").agg(F.min(F.struct("doc_id", "tag")).alias("x")).select("x.*")
+    stay = best.union(found.where("root IS NULL").select("doc_id", "tag")).distinct().hint("merge")
+    tag, here, there = (unused(docs.columns, x) for x in ("tag", "id", "with"))
+    some = docs.where("doc_id IS NOT NULL").withColumns({tag: F.xxhash64("text"), here: F.col("doc_id").cast("long")})
+    some = some.join(stay.select(F.col("doc_id").alias(there), F.col("tag").alias(f"{there}_tag")), F.expr(f"`{here}` = `{there}` AND `{tag}` = `{there}_tag`"), "left_semi")
+    return some.dropDuplicates([here, tag]).drop(here, tag).unionByName(docs.where("doc_id IS NULL"))
