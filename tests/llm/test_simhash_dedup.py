@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from wordloom.llm import queries, simhash_dedup
 from wordloom.llm.shared import Scratch
+from wordloom.llm.smallworld import SmallWorld
 
 
 def sets(text):
@@ -74,9 +75,9 @@ def test_graph_recall():
         base = rng.integers(0, 2, (n - twins, 128), dtype=np.uint8)
         near = base[:twins] ^ (rng.random((twins, 128)) < rng.uniform(0.02, 0.2, (twins, 1)))
         bits = np.packbits(np.concatenate([base, near])[rng.permutation(n)], 1).view(np.uint64)
-        exact = simhash_dedup.distances(bits, np.arange(n), np.arange(n)[None])
-        world = simhash_dedup.SmallWorld(bits, n)
-        ids, dist = world.search(np.arange(n), simhash_dedup.BEAMS[0])
+        exact = simhash_dedup.hamming(bits[:, None], bits[None])
+        world = SmallWorld(bits, simhash_dedup.hamming)
+        ids, dist = world.search(bits, simhash_dedup.BEAMS[0], np.arange(n))
         found = {(r, i) for r, row in enumerate(ids.tolist()) for i in row if i >= 0}
         assert len(found) == (ids >= 0).sum() and all(dist[r][ids[r] == i] == exact[r, i] for r, i in list(found)[:500])
         true = {(a, b) for a, b in zip(*np.nonzero(exact <= 36)) if a != b}

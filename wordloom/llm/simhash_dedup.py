@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 
 from .quality_rules import words_of
 from .shared import Scratch, claim, unused
+from .smallworld import SmallWorld
 
 SHINGLE, SIMILAR = 5, 0.8
 KEYS, ROWS = 8, 2
@@ -31,9 +32,8 @@ KEYS, ROWS = 8, 2
 BITS = 44
 #: Documents in a shard, as planned; a key of more than SHARD has shards of its own.
 PLANNED, SHARD = 1024, 2048
-#: Links that a new node gets, and room for those it is given later; the beams; queries audited in each shard, and the recall below which its beams widen.
-LINKS, ROOM, BEAMS, AUDITED, GOAL = 12, 36, (16, 32, 64, 128), 16, 0.95
-FAR = 1 << 20
+#: The beams; queries audited in each shard, and the recall below which its beams widen.
+BEAMS, AUDITED, GOAL = (16, 32, 64, 128), 16, 0.95
 WORDS = 300_000
 
 _RNG = np.random.default_rng(20240501)
@@ -127,78 +127,8 @@ def similarity(a: np.ndarray, b: np.ndarray) -> float:
     return common / (len(both) - common)
 
 
-def distances(bits: np.ndarray, rows: np.ndarray, others: np.ndarray) -> np.ndarray:
-    """Bits in which each row differs from its others: a row of them for each, or one for all."""
-    return np.bitwise_count(bits[others] ^ bits[rows][:, None]).sum(2, dtype=np.int64)
-
-
-class SmallWorld:
-    """A navigable small-world graph over Hamming distance of the first `count` rows.
-
-    Nodes come in by batches that double; each is linked both ways to the
-    nearest that a search of the graph so far, and its own batch, hold. A full
-    list of links gives up a later one, never the node's own. All searches of a
-    batch walk at once.
-    """
-
-    def __init__(self, bits: np.ndarray, count: int, beam: int = 24):
-        self.bits, self.links, self.degree = bits, np.full((count, ROOM), -1, np.int64), np.zeros(count, np.int64)
-        self.known, self.rng = min(count, 32), np.random.default_rng(count)
-        none = np.zeros((self.known, 0), np.int64)
-        self.join(np.arange(self.known), none, none)
-        while self.known < count:
-            new = np.arange(self.known, min(count, 2 * self.known, self.known + 256))
-            self.join(new, *self.search(new, beam))
-            self.known = int(new[-1]) + 1
-
-    def join(self, new: np.ndarray, near: np.ndarray, dist: np.ndarray) -> None:
-        own = distances(self.bits, new, new[None])
-        np.fill_diagonal(own, FAR)
-        ids, dist = np.concatenate([near, np.broadcast_to(new, own.shape)], 1), np.concatenate([dist, own], 1)
-        k = min(LINKS, dist.shape[1])
-        at = np.argpartition(dist, k - 1, 1)[:, :k]
-        real = (np.take_along_axis(dist, at, 1) < FAR).ravel()
-        row, other = np.repeat(new, k)[real], np.take_along_axis(ids, at, 1).ravel()[real]
-        width = len(self.bits)
-        row, other = np.divmod(np.unique(np.concatenate([row * width + other, other * width + row])), width)
-        slot = self.degree[row] + np.arange(len(row)) - np.searchsorted(row, row)
-        full = slot >= ROOM
-        slot[full] = self.rng.integers(LINKS, ROOM, full.sum())
-        self.links[row, slot] = other
-        np.maximum.at(self.degree, row, slot + 1)
-
-    def search(self, rows: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray]:
-        """For each row the nearest nodes that a beam of this width finds, and their distances; where there are fewer, FAR."""
-        known = self.known
-        seen = np.zeros((len(rows), known + 1), bool)
-        ids, dist, done = np.full((len(rows), beam), -1), np.full((len(rows), beam), FAR), np.zeros((len(rows), beam), bool)
-        seen[rows < known, rows[rows < known]] = True
-        fresh = np.tile(np.unique(np.linspace(0, known - 1, 4).astype(int)), (len(rows), 1))
-        inside = np.flatnonzero(rows < known)
-        if len(inside):
-            first = np.full((len(rows), ROOM), -1)
-            first[inside] = self.links[rows[inside]]
-            fresh = np.concatenate([fresh, first], 1)
-        live = np.arange(len(rows))
-        while len(live):
-            new = np.where((fresh >= 0) & (fresh < known), fresh, known)
-            new = np.where(np.take_along_axis(seen[live], new, 1), known, new)
-            new.sort(1)
-            new[:, 1:][new[:, 1:] == new[:, :-1]] = known
-            seen[live[:, None], new] = True
-            seen[:, known] = False
-            real = new < known
-            d = np.where(real, distances(self.bits, rows[live], np.where(real, new, 0)), FAR)
-            both = [np.concatenate(x, 1) for x in ((ids[live], np.where(real, new, -1)), (dist[live], d), (done[live], np.zeros(new.shape, bool)))]
-            at = np.argpartition(both[1], beam - 1, 1)[:, :beam]
-            ids[live], dist[live], done[live] = (np.take_along_axis(x, at, 1) for x in both)
-            ahead = np.where(done[live] | (ids[live] < 0), FAR, dist[live])
-            pick = ahead.argmin(1)
-            go = ahead[np.arange(len(live)), pick] < FAR
-            live, pick = live[go], pick[go]
-            done[live, pick] = True
-            fresh = self.links[ids[live, pick]]
-        return ids, dist
+def hamming(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return np.bitwise_count(a ^ b).sum(2, dtype=np.int64)
 
 
 class Shard:
@@ -219,29 +149,32 @@ class Shard:
                 self.failed.add(pair)
 
     def audit(self, world: SmallWorld, sample: np.ndarray, beam: int) -> tuple[int, int]:
-        """Candidates that the sample's rows have by exact search, and how many of them a beam of this width finds; one that is full is not the last."""
-        exact = distances(self.bits, sample, np.arange(self.count)[None]) <= BITS
+        """Candidates that the sample's rows have by exact search, and how many of them a beam of this width finds; a full one is asked again."""
+        exact = hamming(self.bits[sample][:, None], self.bits[None, : self.count]) <= BITS
         exact &= sample[:, None] != np.arange(self.count)
-        ids, dist = world.search(sample, beam)
+        ids, dist = self.ask(world, sample, beam)
         hit = np.zeros((len(sample), self.count + 1), bool)
         np.put_along_axis(hit, np.where(ids < 0, self.count, ids), True, 1)
         hit[(dist <= BITS).all(1)] = True
         return int(exact.sum()), int((exact & hit[:, :-1]).sum())
 
+    def ask(self, world: SmallWorld, rows: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray]:
+        return world.search(self.bits[rows], beam, rows if self.count == len(self.sets) else None)
+
     def link(self) -> tuple[list[tuple[int, int]], tuple[int, int]]:
         """Verified pairs that join the shard's documents as far as they belong together, and the audit's counts."""
         asking = np.arange(0 if self.count == len(self.sets) else self.count, len(self.sets))
-        world = SmallWorld(self.bits, self.count)
+        world = SmallWorld(self.bits[: self.count], hamming)
         sample = asking[np.unique(np.linspace(0, len(asking) - 1, AUDITED).astype(int))]
         for beam in BEAMS:
             want, got = self.audit(world, sample, beam)
             if got >= GOAL * want:
                 break
-        while len(asking) and beam < self.count:
+        while len(asking):
             full = []
             for at in range(0, len(asking), 512):
                 rows = asking[at : at + 512]
-                ids, dist = world.search(rows, beam)
+                ids, dist = self.ask(world, rows, beam)
                 row, col = np.nonzero(dist <= BITS)
                 order = np.argsort(dist[row, col], kind="stable")
                 self.try_pairs(rows[row[order]], ids[row[order], col[order]])
@@ -249,9 +182,9 @@ class Shard:
             asking, beam = np.concatenate(full), 4 * beam
             if beam > BEAMS[-1]:
                 break
-        # The widest beam, for queries that are still full (or where every beam is as wide): all nodes that are not joined yet.
+        # The widest beam, for queries that are still full: all nodes that are not joined to them yet.
         for row in asking.tolist():
-            near = np.flatnonzero((distances(self.bits, np.array([row]), np.arange(self.count)[None])[0] <= BITS) & (self.root[: self.count] != self.root[row]))
+            near = np.flatnonzero((hamming(self.bits[None, None, row], self.bits[None, : self.count])[0] <= BITS) & (self.root[: self.count] != self.root[row]))
             self.try_pairs(np.full(len(near), row), near)
         return self.edges, (want, got)
 
