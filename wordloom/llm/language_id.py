@@ -26,23 +26,28 @@ def normal(text: str | None) -> bytes:
     return LETTERS.sub(" ", (text or "").lower()).strip().encode()
 
 
-def learn(docs: DataFrame, dict_bytes: int = 16384, rows: int = 400, chars: int = 1000) -> dict[str, bytes]:
+def learn(docs: DataFrame, dict_bytes: int = 1 << 20, rows: int = 400) -> dict[str, bytes]:
     """A dictionary for every language of docs(doc_id, text, lang).
 
-    A bounded sample is learnt from: about `rows` rows of each language, drawn
-    by a hash of the id, of each its first `chars` characters, up to dict_bytes.
-    Null languages and texts are left out.
+    A bounded sample is learnt from: of each language about `rows` rows, drawn
+    by a hash of id and text (so that null ids and repeated texts are drawn like
+    any other; equal rows count once), whole, in the order of the hash, as far
+    as dict_bytes takes them. A text that is longer than what is left of these
+    is passed over, not cut. Null languages and texts are left out.
     """
     docs = docs.where("lang is not null and text is not null")
     counts = {r["lang"]: r["n"] for r in docs.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not counts:
         return {}
     share = F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, min(1.0, rows / n))])[F.col("lang")]
-    picked = docs.where(zdict.drawn(F.col("doc_id"), share)).select("lang", F.substring("text", 1, chars).alias("text"), F.xxhash64("doc_id", "text").alias("h")).collect()
+    h = F.xxhash64(F.col("doc_id").cast("string"), "text")
+    drawn = docs.where((F.pmod(h, F.lit(1 << 30)) < share * (1 << 30)) & (F.octet_length("text") <= dict_bytes))
+    picked = drawn.select("lang", "text", h.alias("h")).distinct().collect()
     out: dict[str, bytes] = {}
     for r in sorted(picked, key=lambda r: (r["h"], r["text"])):
-        if len(have := out.get(r["lang"], b"")) < dict_bytes:
-            out[r["lang"]] = (have + b" " + normal(r["text"]))[:dict_bytes]
+        have, more = out.get(r["lang"], b""), normal(r["text"])
+        if more and len(have) + len(more) < dict_bytes:
+            out[r["lang"]] = have + b" " + more
     return out
 
 
@@ -51,8 +56,8 @@ def identify(docs: DataFrame, dictionaries: dict[str, bytes], level: int = 6, ma
 
     lang_best is `und`, with score 0 and rejected, for a null text, one without
     a letter, or where nothing was learnt. Otherwise it is the language with the
-    smallest size, ties to the name that sorts first; rejected says that the
-    second best is within `margin` of it. Rows are independent, columns of
+    smallest size, ties to the name that sorts first, as do all texts on which
+    the dictionaries have no bearing; rejected says that the second best is within `margin` of it. Rows are independent, columns of
     those names are replaced, and texts are encoded whole.
     """
 
