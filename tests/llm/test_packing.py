@@ -1,5 +1,6 @@
 """Packing: the ids against the tokenizers library, and the layout of pieces and sequences."""
 
+import json
 import zlib
 from collections import defaultdict
 
@@ -27,6 +28,28 @@ def test_equals_library(text):
     assert np.frombuffer(OWN.encode([text])[0], "<u4").tolist() == want(text)
 
 
+def test_other_files(tmp_path):
+    """A file of another normaliser or splitter goes through the library, with its own ids; a limit of its own doesn't cut."""
+    told = json.load(open(PATH))
+    told["normalizer"] = {"type": "NFC"}
+    told["truncation"] = {"direction": "Right", "max_length": 2, "strategy": "LongestFirst", "stride": 0}
+    (path := tmp_path / "other.json").write_text(json.dumps(told))
+    full = Tokenizer.from_file(str(path))
+    full.no_truncation()
+    full.encode_special_tokens = True
+    text = "The Quick  brown\tFox, ÉTÉ 42!"
+    got = np.frombuffer(packing.WordBPE(str(path)).encode([text])[0], "<u4").tolist()
+    assert got == full.encode(text, add_special_tokens=False).ids != want(text)
+
+
+def test_held_words():
+    """Long words are encoded but not held, and what is held stays within its bound."""
+    own = packing.WordBPE(PATH)
+    texts = ["漢字仮名" * 5000 + str(i) for i in range(20)] + ["x" * 65, "short"]
+    assert [np.frombuffer(x, "<u4").tolist() for x in own.encode(texts)] == [want(t) for t in texts]
+    assert set(own.words) == {"short"} and own.held < 300
+
+
 def test_every_character():
     texts = [f"a{c} {c}b {c}" for c in map(chr, range(0x3000)) if not 0xD800 <= ord(c) < 0xE000]
     for t, raw in zip(texts, OWN.encode(texts)):

@@ -33,12 +33,22 @@ def test_edges(spark):
     assert {r.page_id: bytes(r.payload).decode() for r in back.where("payload is not null").collect()}[9] == rows[9][2]
     whole = b"".join(gzip.open(f).read() for f in glob.glob(folder.removeprefix("file://") + "/*.warc.gz"))
     assert whole.count(b"WARC/1.1\r\n") == 12
+    urls = {r.page_id: r.url for r in back.collect()}
+    assert urls[None] is None and urls[3] == "http://x/3%0D%0AX-Page: 9"
     some = warc.read(index.where("page_id in (3, 9)"), folder)
     assert sorted(r.page_id for r in some.collect()) == [3, 9]
     index, folder = warc.archive(df.limit(0))
     assert warc.read(index, folder).count() == 0
 
 
+def test_tasks(spark):
+    """Many small records are read by as many tasks as their bytes ask for."""
+    df = spark.range(400).selectExpr("id AS page_id", "concat('u', id) AS url", "repeat(sha2(cast(id as string), 256), 40) AS html")
+    index, folder = warc.archive(df)
+    back = warc.read(index, folder, task_bytes=20_000)
+    assert back.rdd.getNumPartitions() > 4 and got(back) == brute(df.collect())
+
+
 def test_ranges():
     out = warc.ranges([("a", 0, 10), ("a", 10, 5), ("a", 20 + warc.GAP, 5), ("b", 0, 3), ("b", 3, warc.READ)])
     assert out == [("a", 0, 15, [(0, 10), (10, 5)]), ("a", 20 + warc.GAP, 25 + warc.GAP, [(0, 5)]), ("b", 0, 3, [(0, 3)]), ("b", 3, 3 + warc.READ, [(0, warc.READ)])]

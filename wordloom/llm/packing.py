@@ -11,11 +11,13 @@ into lengths that are powers of two, which need no padding.
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import unicodedata
 from bisect import bisect_left, insort
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark import TaskContext
@@ -24,13 +26,13 @@ from pyspark.sql import functions as F
 
 from .shared import Scratch, claim
 
-#: Entries that a worker's table of words may hold; a full table starts afresh.
-WORDS = 500_000
+#: Bytes (as reckoned) that a worker's table of words may hold; a full table starts afresh. Longer words are not held.
+HELD, LONGEST = 96 << 20, 64
 PIECE = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
 
 
 class WordBPE:
-    """A tokenizers file with byte-level words, encoded by distinct words.
+    """A tokenizers file, encoded by distinct words where its normaliser and splitter are those known here, else by the library alone.
 
     Texts are cut at spaces and line ends, which no token of such a vocabulary
     spans. Words are normalised and split here and merged by the library's
@@ -40,6 +42,10 @@ class WordBPE:
     #: Characters that every version of Unicode takes for the same kind, also in lower case.
     KNOWN = re.compile("[\x21-\x7e\xa1-\u012f\u0131-\u052f\u2010-\u2027\u2030-\u205e\u3041-\u3096\u30a1-\u30fa\u4e00-\u9fa5\uac00-\ud7a3]*").fullmatch
     PARTS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+").findall
+    #: What a file must say for words to be normalised and split here.
+    NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
+    SPLIT = {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True}
+    SPLITTER = {"type": "Sequence", "pretokenizers": [SPLIT, {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]}
     #: The characters that stand for bytes: printable ones for themselves, the others counted on from 256.
     BYTES = dict(zip([b for b in range(256) if not (33 <= b < 127 or 161 <= b < 173 or b >= 174)], range(256, 512)))
 
@@ -47,12 +53,18 @@ class WordBPE:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
+        with open(path, encoding="utf-8") as file:
+            told = json.load(file)
+        self.by_word = (told["normalizer"], told["pre_tokenizer"], told["model"]["type"]) == (self.NORMALIZER, self.SPLITTER, "BPE") and not told["truncation"]
         self.full = Tokenizer.from_file(path)
+        self.full.no_truncation()
+        self.full.no_padding()
         self.full.encode_special_tokens = True
         self.merge = self.full.model.tokenize
         self.raw = [i.to_bytes(4, "little") for i in range(max(self.full.get_vocab().values()) + 1)]
         self.marks = {c: self.part(c) for c in ".,;:!?"}
         self.words: dict[str, bytes] = {}
+        self.held = 0
 
     def part(self, part: str) -> bytes:
         raw = self.raw
@@ -65,25 +77,34 @@ class WordBPE:
             if word[-1:] in self.marks and (head := word[:-1]).isalpha():
                 return self.part(head.lower()) + self.marks[word[-1]]
         if not self.KNOWN(word):
-            return b"".join([self.raw[i] for i in self.full.encode(word, add_special_tokens=False).ids])
+            return self.whole(word)
         word = unicodedata.normalize("NFC", word)
         word = "".join(c.lower() for c in word) if "Σ" in word else word.lower()
         return b"".join(map(self.part, self.PARTS(word)))
 
+    def whole(self, text: str) -> bytes:
+        return np.array(self.full.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """Each text's ids as little-endian unsigned 32-bit integers."""
+        if not self.by_word:
+            return [self.whole(t) for t in texts]
         out = []
         for text in texts:
             known = self.words
-            if len(known) > WORDS:
+            if self.held > HELD:
                 known.clear()
+                self.held = 0
             split = text.replace("\n", " ").split(" ")
             ids = list(map(known.get, split))
             if None in ids:
                 for at, w in enumerate(split):
                     if ids[at] is None:
                         if (raw := known.get(w)) is None:
-                            raw = known[w] = self.word(w)
+                            raw = self.word(w)
+                            if len(w) <= LONGEST:
+                                known[w] = raw
+                                self.held += 190 + len(w) + len(raw)
                         ids[at] = raw
             out.append(b"".join(ids))
         return out
@@ -201,7 +222,8 @@ def pack(docs: DataFrame, tokenizer_path: str, end_id: int, size: int = 2048, op
     A document is the ids of its whole text (none for a null or empty one),
     then end_id. Every id lies in exactly one piece; a sequence's pieces have
     gapless offsets from 0. docs needs an integer doc_id (nulls and repeated
-    ones are kept: every row is packed) and `text`; other columns are left out.
+    ones are kept: every row is packed) and `text`; other columns are left out,
+    so that their names can't clash.
     An empty table gives no rows. Sequences shorter than `size` are to be
     padded, unless their length is a power of two.
 

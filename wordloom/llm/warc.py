@@ -35,11 +35,14 @@ def resolved(pages: DataFrame) -> DataFrame:
 
     Of equal payloads of LEAST_BYTES and more, all refer to the smallest page_id
     but that row itself; a null html is an empty payload. Payloads meet the
-    repeated digests salted, so that one held by many pages is spread.
+    repeated digests salted, so that one held by many pages is spread; those too
+    short to have a first are spread over all tasks.
     """
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.encode(F.coalesce("html", F.lit("")), "UTF-8").alias("payload"))
-    rows = rows.withColumn("digest", F.sha2("payload", 256)).withColumn("salt", F.pmod(F.xxhash64("page_id"), F.lit(SALTS)).cast("int"))
-    repeated = rows.where(F.octet_length("payload") >= LEAST_BYTES).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1")
+    rows = rows.withColumn("digest", F.sha2("payload", 256))
+    short, salt = F.octet_length("payload") < LEAST_BYTES, F.xxhash64("page_id", "url")
+    rows = rows.withColumn("salt", F.when(short, -1 - F.pmod(salt, F.lit(1 << 20))).otherwise(F.pmod(salt, F.lit(SALTS))).cast("int"))
+    repeated = rows.where(~short).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1")
     salted = repeated.select("digest", "first", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
     return rows.join(salted, ["digest", "salt"], "left").select("page_id", "url", "payload", "digest", F.expr("CASE WHEN NOT (page_id <=> first) THEN first END").alias("refers_to"))
 
@@ -49,10 +52,11 @@ def record_id(page: int | None, digest: str) -> str:
 
 
 def record(page: int | None, url: str | None, payload: bytes, digest: str, first: int | None, date: str) -> bytes:
+    """One record. A null url or page has no header; line ends of a url, which no header can hold, are percent-encoded."""
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     body = http if first is not None else http + payload
-    target = (url or "").replace("\r", "%0D").replace("\n", "%0A")
-    head = ["WARC/1.1", f"WARC-Type: {'response' if first is None else 'revisit'}", f"WARC-Record-ID: {record_id(page, digest)}", f"WARC-Date: {date}", f"WARC-Target-URI: {target}", f"WARC-Payload-Digest: sha256:{digest}"]
+    head = ["WARC/1.1", f"WARC-Type: {'response' if first is None else 'revisit'}", f"WARC-Record-ID: {record_id(page, digest)}", f"WARC-Date: {date}", f"WARC-Payload-Digest: sha256:{digest}"]
+    head += [] if url is None else [f"WARC-Target-URI: {url.replace('\r', '%0D').replace('\n', '%0A')}"]
     if first is not None:
         head += [f"WARC-Refers-To: {record_id(first, digest)}", f"WARC-Profile: {PROFILE}", f"X-Refers-To-Page: {first}"]
     head += [] if page is None else [f"X-Page: {page}"]
@@ -71,9 +75,9 @@ def parse(data: bytes) -> tuple:
     http, _, payload = block.partition(b"\r\n\r\n")
     page = int(fields["X-Page"]) if "X-Page" in fields else None
     if fields["WARC-Type"] == "response":
-        return page, fields["WARC-Target-URI"], "response", len(payload), hashlib.sha256(payload).hexdigest(), None, payload
+        return page, fields.get("WARC-Target-URI"), "response", len(payload), hashlib.sha256(payload).hexdigest(), None, payload
     size = next(int(x.split(b":")[1]) for x in http.split(b"\r\n") if x.lower().startswith(b"content-length:"))
-    return page, fields["WARC-Target-URI"], "revisit", size, fields["WARC-Payload-Digest"].removeprefix("sha256:"), int(fields["X-Refers-To-Page"]), None
+    return page, fields.get("WARC-Target-URI"), "revisit", size, fields["WARC-Payload-Digest"].removeprefix("sha256:"), int(fields["X-Refers-To-Page"]), None
 
 
 def write(rows: DataFrame, folder: str, date: str = "2024-01-01T00:00:00Z") -> DataFrame:
@@ -117,8 +121,14 @@ def ranges(places: list[tuple[str, int, int]]) -> list[tuple[str, int, int, list
     return out
 
 
-def read(index: DataFrame, folder: str, payloads: bool = False) -> DataFrame:
-    """The records that the index rows select, parsed from the archives; with payloads also `payload` (null in revisits)."""
+def read(index: DataFrame, folder: str, payloads: bool = False, task_bytes: int = 1 << 24) -> DataFrame:
+    """The records that the index rows select, parsed from the archives; with payloads also `payload` (null in revisits).
+
+    Each task reads about task_bytes, by neighbouring ranges of twice that: the
+    number of tasks comes from the lengths in the index, not from its own size.
+    A url's line ends come back percent-encoded, a null one as null.
+    """
+    tasks = max(1, -(-(index.agg(F.sum("length")).first()[0] or 0) // task_bytes))
 
     def run(batches):
         system, root = fs.FileSystem.from_uri(folder)
@@ -136,7 +146,7 @@ def read(index: DataFrame, folder: str, payloads: bool = False) -> DataFrame:
                 n = 7 if payloads else 6
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols[:n], types[:n])], names=names[:n])
 
-    spread = index.select("file", "offset", "length").repartition("file", F.floor(F.col("offset") / (1 << 25)))
+    spread = index.select("file", "offset", "length").repartition(tasks, "file", F.floor(F.col("offset") / (2 * task_bytes)))
     return spread.sortWithinPartitions("file", "offset").mapInArrow(run, RECORD + ", payload binary" * payloads)
 
 
