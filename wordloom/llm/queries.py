@@ -27,11 +27,6 @@ def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
-def op3_substring_dedup_words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Also every run of 50 words that came earlier, which the SQL of op3_substring_dedup leaves where it has few sentence marks."""
-    return substring_dedup.dedup(table(spark, sf_dir, "documents").select("doc_id", "text"), least=50)
-
-
 def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, held = table(spark, sf_dir, "documents").select("doc_id", "text"), zdict.held_out(F.col("doc_id"))
     model = quality_classifier.learn(docs.where(~held), table(spark, sf_dir, "labels").where(~held))
@@ -73,7 +68,7 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", of(0).alias("n_assign"), of(1).alias("n_access"), of(2).alias("n_hex"), F.sha2(secret_scan.written(F.col("base")).cast("binary"), 256).alias("base_sha256"), secret_scan.written(F.col("spans")).alias("spans"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_packing, op2_quality_rules, op3_substring_dedup, op3_substring_dedup_words, op4_quality_classifier, op5_simhash_dedup, op6_warc, op7_byte_bpe, op8_ann, op9_language_id, op10_secret_scan)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_packing, op2_quality_rules, op3_substring_dedup, op4_quality_classifier, op5_simhash_dedup, op6_warc, op7_byte_bpe, op8_ann, op9_language_id, op10_secret_scan)}
 
 
 def _rules_sql() -> str:
@@ -101,21 +96,32 @@ o AS (SELECT doc_id, bool_or(coalesce(v > fence, false)) AS outlier FROM v LEFT
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT outlier AS kept, n_lines, n_upper FROM b JOIN o USING (doc_id)"""
 
 
-ORACLE_SQL: dict[str, str] = {
-    "op3_substring_dedup": """WITH d AS (SELECT doc_id, list_filter(regexp_extract_all(text, '[^.!?,;:\\n]*(?:[.!?,;:\\n]+\\s*|$)'), lambda x: x <> '') AS us FROM documents),
-u AS (SELECT doc_id, unnest(us) AS raw, unnest(range(len(us))) AS i FROM d),
-p AS (SELECT doc_id, i, raw, regexp_extract_all(raw, '\\S+') AS ws FROM u),
-c AS (SELECT doc_id, i, raw, rtrim(array_to_string(ws, ' '), '.!?,;:') AS plain, sum(len(ws)) OVER (PARTITION BY doc_id ORDER BY i) AS upto, sum(len(ws)) OVER (PARTITION BY doc_id ORDER BY i) - len(ws) + 15 AS want, sum(length(raw)) OVER (PARTITION BY doc_id ORDER BY i) AS stop_at FROM p),
+def _passages_sql() -> str:
+    """The parts, spans and removals of substring_dedup.dedup, by the spans' texts."""
+    q = substring_dedup
+    return f"""WITH d AS (SELECT doc_id, list_filter(regexp_extract_all(text, '{q.UNIT_PATTERN}'), lambda x: x <> '') AS us FROM documents),
+un AS (SELECT doc_id, unnest(us) AS raw, unnest(range(len(us))) AS j FROM d),
+uw AS (SELECT doc_id, j, raw, regexp_extract_all(raw, '\\s*{q.WORD_PATTERN}\\s*') AS ts FROM un),
+tk AS (SELECT doc_id, j, unnest(ts) AS tok, unnest(range(len(ts))) AS k FROM uw WHERE len(ts) > {q.LONG}),
+sg AS (SELECT doc_id, j, k, tok, coalesce(sum(CASE WHEN unicode(regexp_extract(tok, '\\S')) % {q.CUT} = 0 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id, j ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS s FROM tk),
+pc AS (SELECT doc_id, j, 0 AS s, raw FROM uw WHERE len(ts) <= {q.LONG} UNION ALL SELECT doc_id, j, s, string_agg(tok, '' ORDER BY k) AS raw FROM sg GROUP BY ALL),
+u AS (SELECT doc_id, raw, row_number() OVER (PARTITION BY doc_id ORDER BY j, s) - 1 AS i FROM pc),
+p AS (SELECT doc_id, i, raw, regexp_extract_all(raw, '{q.WORD_PATTERN}') AS ws FROM u),
+c AS (SELECT doc_id, i, raw, rtrim(array_to_string(ws, ' '), '{q.MARKS}') AS plain, sum(len(ws)) OVER (PARTITION BY doc_id ORDER BY i) AS upto, sum(len(ws)) OVER (PARTITION BY doc_id ORDER BY i) - len(ws) + {q.WORDS} AS want, sum(length(raw)) OVER (PARTITION BY doc_id ORDER BY i) AS stop_at FROM p),
 l AS (SELECT doc_id, list(plain ORDER BY i) AS plains FROM c GROUP BY doc_id),
 k AS (SELECT doc_id, upto, min(i) AS at FROM c GROUP BY ALL),
-r AS (SELECT c.doc_id, c.i, greatest(k.at + 1, c.i + 3) AS stop FROM c ASOF JOIN k ON c.doc_id = k.doc_id AND c.want <= k.upto),
+r AS (SELECT c.doc_id, c.i, greatest(k.at + 1, c.i + {q.RUN}) AS stop FROM c ASOF JOIN k ON c.doc_id = k.doc_id AND c.want <= k.upto),
 runs AS (SELECT doc_id, i, stop, row_number() OVER (PARTITION BY array_to_string(plains[i + 1:stop], chr(1)) ORDER BY doc_id, i) AS nth FROM r JOIN l USING (doc_id) WHERE stop <= len(plains)),
 gone AS (SELECT DISTINCT doc_id, unnest(range(i, stop)) AS i FROM runs WHERE nth > 1),
 m AS (SELECT c.doc_id, c.i, raw, stop_at, gone.i IS NOT NULL AS cut FROM c LEFT JOIN gone ON gone.doc_id = c.doc_id AND gone.i = c.i),
 g AS (SELECT doc_id, i, raw, stop_at, i - row_number() OVER (PARTITION BY doc_id ORDER BY i) AS island FROM m WHERE cut),
 s AS (SELECT doc_id, string_agg(concat(a, ':', b), ',' ORDER BY a) AS removed FROM (SELECT doc_id, min(stop_at - length(raw)) AS a, max(stop_at) AS b FROM g GROUP BY doc_id, island) GROUP BY doc_id),
 t AS (SELECT doc_id, coalesce(string_agg(raw, '' ORDER BY i) FILTER (NOT cut), '') AS text, count(*) AS n_sentences, count(*) FILTER (cut) AS n_removed FROM m GROUP BY doc_id)
-SELECT documents.doc_id, coalesce(t.text, documents.text) AS text, coalesce(n_sentences, 0) AS n_sentences, coalesce(n_removed, 0) AS n_removed, coalesce(removed, '') AS removed FROM documents LEFT JOIN t USING (doc_id) LEFT JOIN s USING (doc_id)""",
+SELECT documents.doc_id, coalesce(t.text, documents.text) AS text, coalesce(n_sentences, 0) AS n_sentences, coalesce(n_removed, 0) AS n_removed, coalesce(removed, '') AS removed FROM documents LEFT JOIN t USING (doc_id) LEFT JOIN s USING (doc_id)"""
+
+
+ORACLE_SQL: dict[str, str] = {
+    "op3_substring_dedup": _passages_sql(),
     "op5_simhash_dedup": """WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[^\\x20\\x09-\\x0D]+') AS ws FROM documents),
 sh AS (SELECT DISTINCT doc_id, g FROM (SELECT doc_id, ws[i:i + 4] AS g FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 4, 1) + 1)) AS i FROM w WHERE len(ws) > 0))),
 sz AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY doc_id),

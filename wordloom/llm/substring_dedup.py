@@ -1,15 +1,13 @@
 """Removal of repeated passages by sliding spans of sentences.
 
-A text is cut into sentences and clauses. From each of them begins a span: the
-shortest run of at least `run` of them with at least `words` words. All spans'
-hashes meet globally; of equal spans the first (smallest doc_id, then place)
-stays, and every sentence that another one covers is removed.
-
-With `least`, every word that lies in a run of so many words that came earlier is
-removed too, wherever sentences begin or end. In writing without blanks every
-character is a word. Each run is found by an anchor: the smallest hash of
-ANCHOR-word windows in it, the same in all copies. Only runs with a repeated
-anchor are then compared, all of them, so that none is missed.
+A text is cut into sentences and clauses, at the marks of European and East
+Asian writing; where one has more than LONG words, it is cut after words that
+are chosen by their content, so that texts without marks fall into the same
+parts wherever they share a passage. From each part begins a span: the shortest
+run of at least `run` of them with at least `words` words. In writing without
+blanks every character is a word. The 128-bit hashes of all spans meet globally;
+of equal spans the first (smallest doc_id, then place) stays, and every part
+that another one covers is removed.
 """
 
 from __future__ import annotations
@@ -23,22 +21,43 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import Scratch, append_columns, claim
+from .shared import Scratch, append_columns, claim, unused
 
-UNIT = re.compile(r"[^.!?,;:\n]*(?:[.!?,;:\n]+\s*|$)").findall
+MARKS = ".!?,;:\u3002\uff01\uff1f\u3001\uff0c\uff1b\uff1a"
+UNIT_PATTERN = f"[^{MARKS}\n]*(?:[{MARKS}\n]+\\s*|$)"
 #: Chinese, Japanese, Thai, Lao, Burmese and Khmer.
 SPACELESS = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3001-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\uff01-\uff65\U00020000-\U0003ffff"
+WORD_PATTERN = f"(?:[{SPACELESS}]|[^\\s{SPACELESS}]+)"
+UNIT, WORD, TOKEN = (re.compile(p).findall for p in (UNIT_PATTERN, WORD_PATTERN, f"\\s*{WORD_PATTERN}\\s*"))
 ANY_SPACELESS = re.compile(f"[{SPACELESS}]").search
-WORD = re.compile(f"[{SPACELESS}]|[^\\s{SPACELESS}]+")
-ANCHOR = 20
-BASE = 0x9E3779B97F4A7C15
-INVERSE = pow(BASE, -1, 1 << 64)
+#: Parts of more words than this are cut after each word whose first character's code is divisible by CUT.
+LONG, CUT = 24, 5
+RUN, WORDS = 2, 25
+BASES = (0x9E3779B97F4A7C15, 0xD1342543DE82EF95)
 LAST = (1 << 63) - 1
 
 
+def words_in(text: str) -> list[str]:
+    return text.split() if text.isascii() or not ANY_SPACELESS(text) else WORD(text)
+
+
 def units(text: str) -> list[str]:
-    """Sentences and clauses with what follows them; joined, they are the text."""
-    return [u for u in UNIT(text) if u]
+    """Sentences, clauses and parts of long ones with what follows them; joined, they are the text."""
+    out = []
+    for unit in UNIT(text):
+        if len(unit) <= LONG or len(tokens := TOKEN(unit)) <= LONG:
+            if unit:
+                out.append(unit)
+            continue
+        part = ""
+        for token in tokens:
+            part += token
+            if ord(token.lstrip()[0]) % CUT == 0:
+                out.append(part)
+                part = ""
+        if part:
+            out.append(part)
+    return out
 
 
 def _powers(base: int, n: int) -> np.ndarray:
@@ -47,50 +66,31 @@ def _powers(base: int, n: int) -> np.ndarray:
     return np.multiply.accumulate(out)
 
 
-_POWERS = [_powers(BASE, 1024), _powers(INVERSE, 1024)]
+_POWERS: list[tuple[np.ndarray, np.ndarray]] = []
 
 
 def _room(n: int) -> None:
-    if n > len(_POWERS[0]):
-        _POWERS[:] = [_powers(BASE, 2 * n), _powers(INVERSE, 2 * n)]
+    if not _POWERS or n > len(_POWERS[0][0]):
+        _POWERS[:] = [(_powers(b, 2 * n + 1024), _powers(pow(b, -1, 1 << 64), 2 * n + 1024)) for b in BASES]
 
 
-def spans(parts: list[str], run: int, words: int) -> tuple[np.ndarray, np.ndarray]:
-    """For each start: the span's hash, and the unit after it (0: there is no span, as too little follows)."""
+def spans(parts: list[str], run: int, words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each start: the two halves of the span's hash, and the part after it (0: there is no span, as too little follows)."""
     n = len(parts)
     _room(n)
-    split = [p.split() for p in parts]
-    plain = np.fromiter((xxhash.xxh64_intdigest(" ".join(s).rstrip(".!?,;:")) for s in split), np.uint64, n)
+    split = [words_in(p) for p in parts]
+    digests = b"".join([xxhash.xxh128_digest(" ".join(s).rstrip(MARKS)) for s in split])
+    plain = np.frombuffer(digests, np.uint64).reshape(-1, 2)
     count = np.concatenate([[0], np.cumsum(np.fromiter(map(len, split), np.int64, n))])
     stop = np.maximum(np.searchsorted(count, count[:-1] + words), np.arange(n) + run)
     stop[stop > n] = 0
-    with np.errstate(over="ignore"):
-        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(plain * _POWERS[0][:n], dtype=np.uint64)])
-        mixed = (sums[stop] - sums[:-1]) * _POWERS[1][:n]
-        mixed = (mixed ^ (mixed >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
-    return mixed.view(np.int64), stop
-
-
-def _windows(plain: np.ndarray, size: int) -> np.ndarray:
-    """The hash of every `size` neighbouring words."""
-    n = len(plain)
-    _room(n)
-    with np.errstate(over="ignore"):
-        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(plain * _POWERS[0][:n], dtype=np.uint64)])
-        mixed = (sums[size:] - sums[:-size]) * _POWERS[1][: n - size + 1]
-        return (mixed ^ (mixed >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
-
-
-def runs(text: str, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
-    """The hash of each run of `least` words, the place of its anchor, and the anchor hashes by place; None if the text is shorter."""
-    words = text.split() if text.isascii() or not ANY_SPACELESS(text) else WORD.findall(text)
-    if len(words) < least:
-        return None
-    plain = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
-    size = min(ANCHOR, least)
-    anchors = _windows(plain, size)
-    chosen = np.lib.stride_tricks.sliding_window_view(anchors, least - size + 1).argmin(axis=1) + np.arange(len(words) - least + 1)
-    return _windows(plain, least), chosen, anchors
+    halves = []
+    for lane, (up, down) in enumerate(_POWERS):
+        with np.errstate(over="ignore"):
+            sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(plain[:, lane] * up[:n], dtype=np.uint64)])
+            mixed = (sums[stop] - sums[:-1]) * down[:n]
+            halves.append(((mixed ^ (mixed >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)).view(np.int64))
+    return halves[0], halves[1], stop
 
 
 def _tag(text: Column) -> Column:
@@ -98,131 +98,79 @@ def _tag(text: Column) -> Column:
     return F.pmod(F.xxhash64(text), F.lit(1 << 31))
 
 
-def occurrences(docs: DataFrame, run: int, words: int) -> DataFrame:
-    """A row per span of docs(doc_id, text): its hash, the document (a null id sorts last), and its place: the text's tag and the unit."""
+def occurrences(docs: DataFrame, run: int, words: int, places: bool) -> DataFrame:
+    """A row per span of docs(doc_id, text): its hash (h, g), and with places the document (a null id sorts last) and the place in it: the text's tag and the part."""
 
     def make(batches):
-        claim("substring_dedup", lambda: None)
+        claim("substring_dedup", _POWERS.clear)
         for batch in batches:
-            hashes, owners, places = [], [], []
+            out: list[list] = [[], [], [], []]
             for doc, tag, text in zip(*(batch.column(k).to_pylist() for k in range(3))):
-                h, stop = spans(units(text), run, words)
+                h, g, stop = spans(units(text), run, words)
                 at = np.flatnonzero(stop)
-                if len(at):
-                    hashes.append(h[at])
-                    owners.append(np.full(len(at), doc))
-                    places.append((tag << 32) + at)
-            if hashes:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x), pa.int64()) for x in (hashes, owners, places)], names=["h", "doc", "place"])
-
-    return _slim(docs).mapInArrow(make, "h long, doc long, place long")
-
-
-def _slim(docs: DataFrame) -> DataFrame:
-    return docs.where("text is not null").select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("doc"), _tag(F.col("text")).alias("tag"), "text")
-
-
-def _hashed(docs: DataFrame, least: int, anchors: bool) -> DataFrame:
-    """As occurrences(): a row per anchor of docs(doc, tag, text), or per run whose anchor is among docs' `starts`."""
-
-    def make(batches):
-        claim("substring_dedup", lambda: None)
-        for batch in batches:
-            for row in zip(*(batch.column(k) for k in range(batch.num_columns))):
-                doc, tag, text = (x.as_py() for x in row[:3])
-                if (found := runs(text, least)) is None:
-                    continue
-                h, chosen, by_place = found
-                if anchors:
-                    at = np.unique(chosen)
-                    h = by_place[at]
-                else:
-                    at = np.flatnonzero(np.isin(chosen, np.array(row[3].as_py())))
-                    h = h[at]
-                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(np.full(len(at), doc), pa.int64()), pa.array((tag << 32) + at, pa.int64())], names=["h", "doc", "place"])
-
-    return docs.mapInArrow(make, "h long, doc long, place long")
-
-
-def _by_document(seen: DataFrame) -> DataFrame:
-    return seen.groupBy("doc", F.shiftright("place", 32).alias("tag")).agg(F.collect_set((F.col("place") % (1 << 32)).cast("int")).alias("starts"))
-
-
-def _later(seen: DataFrame) -> DataFrame:
-    """doc, tag and the starts (an array) of its rows in seen(h, doc, place) that are not the first of their kind.
+                for col, x in zip(out, (h[at], g[at], np.full(len(at), doc), (tag << 32) + at)):
+                    col.append(x)
+            if out[0]:
+                names = ["h", "g", "doc", "place"][: 4 if places else 2]
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x), pa.int64()) for x, _ in zip(out, names)], names=names)
 
-    Counting partly before the shuffle keeps a passage that a third of all
-    documents share from being one task's load; in the join back, where only
-    repeated hashes meet the occurrences, adaptive execution splits its rows.
-    """
-    repeated = seen.groupBy("h").agg(F.min(F.struct("doc", "place")).alias("first"), F.count("*").alias("n")).where("n > 1").select("h", "first")
-    return _by_document(seen.join(repeated, "h").where(F.struct("doc", "place") != F.col("first")))
+    slim = docs.where("text is not null").select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("doc"), _tag(F.col("text")).alias("tag"), "text")
+    return slim.mapInArrow(make, "h long, g long" + ", doc long, place long" * places)
 
 
 def removals(docs: DataFrame, scratch: Scratch, run: int, words: int) -> DataFrame:
-    """doc, tag and the starts of its spans that are not the first of their kind."""
-    return _later(scratch.keep(occurrences(docs, run, words), "spans"))
-
+    """doc, tag and the starts (an array) of its spans that are not the first of their kind.
 
-def run_removals(docs: DataFrame, scratch: Scratch, least: int) -> DataFrame:
-    """doc, tag and the starts, in words, of its runs of `least` words that are not the first of their kind."""
-    slim = _slim(docs)
-    anchors = scratch.keep(_hashed(slim, least, True), "anchors")
-    repeated = anchors.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
-    some = slim.join(_by_document(anchors.join(repeated, "h")), ["doc", "tag"]).select("doc", "tag", "text", "starts")
-    return _later(scratch.keep(_hashed(some, least, False), "runs"))
+    Spans are made twice rather than written: for counting only hashes travel,
+    counted partly before the shuffle, so that a passage that a third of all
+    documents share is no load. Only repeated hashes then meet their places, and
+    the few that remain are written; adaptive execution splits a hot one's rows.
+    """
+    repeated = occurrences(docs, run, words, False).groupBy("h", "g").agg(F.count("*").alias("n")).where("n > 1").select("h", "g")
+    hits = scratch.keep(occurrences(docs, run, words, True).join(repeated, ["h", "g"]), "hits")
+    first = hits.groupBy("h", "g").agg(F.min(F.struct("doc", "place")).alias("first"))
+    later = hits.join(first, ["h", "g"]).where(F.struct("doc", "place") != F.col("first"))
+    return later.groupBy("doc", F.shiftright("place", 32).alias("tag")).agg(F.collect_set((F.col("place") % (1 << 32)).cast("int")).alias("starts"))
 
 
-def dedup(docs: DataFrame, run: int = 3, words: int = 15, least: int | None = None) -> DataFrame:
+def dedup(docs: DataFrame, run: int = RUN, words: int = WORDS) -> DataFrame:
     """docs(doc_id, text, ...) with the text shortened, n_sentences, n_removed and removed (start:end in the old text, comma-joined).
 
-    Null and empty texts stay as they are. Rows of equal doc_id and text are one
-    document and are all treated alike; a passage repeated inside a text loses
-    its later occurrences. Columns of those names are replaced, an empty table
-    stays empty, and texts are never cut. With `least`, words in a run of so many
-    that came earlier go as well, with the blanks after them, and n_removed
-    counts the sentences that lose any of their text.
+    n_sentences and n_removed count parts. Null and empty texts stay as they
+    are, and so do texts of fewer than `run` parts or `words` words, which hold
+    no span. Rows of equal doc_id and text are one document and are all treated
+    alike; a passage repeated inside a text loses its later occurrences. Columns
+    of those names are replaced, all others stay, an empty table stays empty,
+    and texts are never cut.
     """
     scratch = Scratch(docs.sparkSession, "spans")
     docs = docs.drop("n_sentences", "n_removed", "removed")
+    doc, tag, starts = (unused(docs.columns, x) for x in ("doc", "tag", "starts"))
     gone = removals(docs.select("doc_id", "text"), scratch, run, words)
-    keyed = docs.withColumns({"__doc": F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)), "__tag": F.coalesce(_tag(F.col("text")), F.lit(-1))})
-    joined = keyed.join(gone.withColumnsRenamed({"doc": "__doc", "tag": "__tag", "starts": "__starts"}), ["__doc", "__tag"], "left")
-    if least:
-        gone = run_removals(docs.select("doc_id", "text"), scratch, least)
-        joined = joined.join(gone.withColumnsRenamed({"doc": "__doc", "tag": "__tag", "starts": "__runs"}), ["__doc", "__tag"], "left")
-    else:
-        joined = joined.withColumn("__runs", F.lit(None).cast("array<int>"))
-    joined = joined.drop("__doc", "__tag")
+    keyed = docs.withColumns({doc: F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)), tag: F.coalesce(_tag(F.col("text")), F.lit(-1))})
+    joined = keyed.join(gone.withColumnsRenamed({"doc": doc, "tag": tag, "starts": starts}), [doc, tag], "left").drop(doc, tag)
 
     def make(chunks):
-        claim("substring_dedup", lambda: None)
-        for texts, starts, repeats in chunks:
+        claim("substring_dedup", _POWERS.clear)
+        for texts, begins in chunks:
             out: list[list] = [[], [], [], []]
-            for text, begun, again in zip(texts, starts, repeats):
+            for text, begun in zip(texts, begins):
                 parts = units(text or "")
                 kept, count, cut = text, 0, ""
-                if begun or again:
-                    offsets = np.concatenate([[0], np.cumsum([len(p) for p in parts])])
-                    covered = np.zeros(len(text) + 1, np.int64)
-                    if begun:
-                        begun = np.array(begun)
-                        np.add.at(covered, offsets[begun], 1)
-                        np.add.at(covered, offsets[spans(parts, run, words)[1][begun]], -1)
-                    if again:
-                        places = np.array([m.start() for m in WORD.finditer(text)] + [len(text)])
-                        again = np.array(again)
-                        np.add.at(covered, places[again], 1)
-                        np.add.at(covered, places[again + least], -1)
+                if begun:
+                    begun = np.array(begun)
+                    covered = np.zeros(len(parts) + 1, np.int64)
+                    np.add.at(covered, begun, 1)
+                    np.add.at(covered, spans(parts, run, words)[2][begun], -1)
                     drop = np.cumsum(covered)[:-1] > 0
+                    offsets = np.concatenate([[0], np.cumsum([len(p) for p in parts])])
                     edge = np.flatnonzero(np.diff(np.concatenate([[0], drop, [0]])))
-                    kept = "".join(text[a:b] for a, b in zip([0, *edge[1::2]], [*edge[::2], len(text)]))
-                    count = int(np.logical_or.reduceat(drop, offsets[:-1]).sum())
-                    cut = ",".join(f"{a}:{b}" for a, b in zip(edge[::2], edge[1::2]))
+                    kept = "".join([p for p, d in zip(parts, drop) if not d])
+                    count, cut = int(drop.sum()), ",".join(f"{offsets[a]}:{offsets[b]}" for a, b in zip(edge[::2], edge[1::2]))
                 for col, x in zip(out, (kept, len(parts), count, cut)):
                     col.append(x)
             yield out
 
     fields = [("text", T.StringType()), ("n_sentences", T.LongType()), ("n_removed", T.LongType()), ("removed", T.StringType())]
-    done = append_columns(joined, ["text", "__starts", "__runs"], make, fields, rows=256).drop("__starts", "__runs")
-    return done.select(*docs.columns, "n_sentences", "n_removed", "removed")
+    done = append_columns(joined, ["text", starts], make, fields, rows=256).drop(starts)
+    return done.select(*[F.col(f"`{c}`") for c in docs.columns], "n_sentences", "n_removed", "removed")
