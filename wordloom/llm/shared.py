@@ -94,12 +94,12 @@ def append_columns(df: DataFrame, uses: list[str], make: Callable[[Iterator[list
     """
     small_batches(df.sparkSession)
     new = {n for n, _ in fields}
-    clash = {c: unused(df.columns, f"in_{c}") for c in df.columns if c in new}
     kept = [c for c in df.columns if c not in new]
-    src = df.select(*[F.col(f"`{c}`") for c in kept], *[F.col(f"`{c}`").alias(clash[c]) for c in clash if c in uses])
-    names = [clash.get(c, c) for c in uses]
+    given = list(dict.fromkeys([*kept, *uses]))
+    # By number, as Spark takes no names with dots here.
+    src = df.select(*[F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(given)])
     schema = T.StructType([*[df.schema[c] for c in kept], *[T.StructField(n, t) for n, t in fields]])
-    types = [ARROW[t] for _, t in fields]
+    types, inputs, width = [ARROW[t] for _, t in fields], [given.index(c) for c in uses], len(kept)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -108,10 +108,10 @@ def append_columns(df: DataFrame, uses: list[str], make: Callable[[Iterator[list
             for batch in batches:
                 for at in range(0, batch.num_rows, rows):
                     held.append(part := batch.slice(at, rows))
-                    yield [part.column(n).to_pylist() for n in names]
+                    yield [part.column(k).to_pylist() for k in inputs]
 
         for out in make(chunks()):
             part = held.pop()
-            yield pa.RecordBatch.from_arrays([*[part.column(c) for c in kept], *[pa.array(x, t) for x, t in zip(out, types)]], names=[*kept, *[n for n, _ in fields]])
+            yield pa.RecordBatch.from_arrays([*part.columns[:width], *[pa.array(x, t) for x, t in zip(out, types)]], names=[*kept, *[n for n, _ in fields]])
 
     return src.mapInArrow(run, schema)
