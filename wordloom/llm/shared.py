@@ -8,6 +8,8 @@ import shutil
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -44,15 +46,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_TEMPORARY: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir of the session, or a temporary one where it is unset (tests)."""
+    """The folder that all executors share: spark.checkpoint.dir of the session, or a temporary one of the application where it is unset (local sessions, as in tests)."""
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if base is None:
         if not spark.sparkContext.master.startswith("local["):
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        base = "file://" + tempfile.mkdtemp(prefix="wordloom-")
-        atexit.register(shutil.rmtree, base[7:], True)
-        spark.sparkContext._conf.set("spark.checkpoint.dir", base)
+        app = spark.sparkContext.applicationId
+        if app not in _TEMPORARY:
+            _TEMPORARY[app] = "file://" + tempfile.mkdtemp(prefix="wordloom-")
+            atexit.register(shutil.rmtree, _TEMPORARY[app][7:], True)
+        base = _TEMPORARY[app]
     return base.rstrip("/")
 
 
@@ -63,14 +70,29 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(key, BATCH)
 
 
-class Scratch:
-    """Tables of one operator run, written to the shared folder so that a lost executor costs no recomputation of what came before."""
+_GATHERED: ContextVar[list[Scratch] | None] = ContextVar("gathered", default=None)
 
-    #: All of this process, in the order they were made.
+
+@contextmanager
+def gathered() -> Iterator[list[Scratch]]:
+    """The Scratch objects made in its body, for a caller that knows when their tables are done with."""
     made: list[Scratch] = []
+    token = _GATHERED.set(made)
+    try:
+        yield made
+    finally:
+        _GATHERED.reset(token)
+
+
+class Scratch:
+    """Tables of one operator run, written to the shared folder so that a lost executor costs no recomputation of what came before.
+
+    Results are lazy and read these tables, so they stay until drop(); see gathered().
+    """
 
     def __init__(self, spark: SparkSession, name: str):
-        self.made.append(self)
+        if (made := _GATHERED.get()) is not None:
+            made.append(self)
         small_batches(spark)
         self.spark, self.path = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
