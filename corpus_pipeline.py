@@ -6,14 +6,12 @@ as Parquet and read again as the next one's docs.
 
 from __future__ import annotations
 
-from functools import wraps
-
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wordloom.llm import packing, quality_rules, secret_scan, simhash_dedup, substring_dedup
-from wordloom.llm.shared import Scratch, table
+from wordloom.llm.shared import Scratch, gathered, table
 
 
 def _like(docs: DataFrame, changed: DataFrame) -> DataFrame:
@@ -23,50 +21,27 @@ def _like(docs: DataFrame, changed: DataFrame) -> DataFrame:
     return changed.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
-_LAST: list[Scratch] = []
-
-
-def _frees_the_one_before(stage):
-    """A stage begins once the one before it is written and read again, so that one's tables in the shared folder can go."""
-
-    @wraps(stage)
-    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        for scratch in _LAST if stage.__name__ != "rules" else ():
-            scratch.drop()
-        begun = len(Scratch.made)
-        out = stage(spark, docs, sf_dir)
-        _LAST[:] = Scratch.made[begun:]
-        return out
-
-    return run_stage
-
-
-@_frees_the_one_before
 def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that fail the base rules or are outliers of their language and source go."""
     return quality_rules.judge(docs).where("kept").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
-@_frees_the_one_before
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class of near duplicates stays."""
     return simhash_dedup.keep_one(docs)
 
 
-@_frees_the_one_before
 def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Passages that came earlier, in this or another document, go from the text."""
     return _like(docs, substring_dedup.dedup(docs))
 
 
-@_frees_the_one_before
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Secrets in the text give way to a mark."""
     model = secret_scan.train(secret_scan.identifiers(docs))
     return _like(docs, secret_scan.redact(secret_scan.find(docs, model)))
 
 
-@_frees_the_one_before
 def sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """A row per piece of a document in a sequence of at most 2048 tokens."""
     return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), end_id=1)
@@ -79,7 +54,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over documents. What a stage left in the shared folder goes once its result is written, but for the last stage's, which is read lazily."""
     scratch, docs = Scratch(spark, "pipeline"), table(spark, sf_dir, "documents")
-    for name, stage in STAGES[:-1]:
-        docs = scratch.keep(stage(spark, docs, sf_dir), name)
+    for at, (name, stage) in enumerate(STAGES[:-1]):
+        with gathered() as made:
+            docs = scratch.keep(stage(spark, docs, sf_dir), name)
+        for done in made:
+            done.drop()
+        if at:
+            scratch.drop(STAGES[at - 1][0])
     return STAGES[-1][1](spark, docs, sf_dir)
