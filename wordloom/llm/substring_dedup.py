@@ -44,8 +44,11 @@ def words_in(text: str) -> list[str]:
 def units(text: str) -> list[str]:
     """Sentences, clauses and parts of long ones with what follows them; joined, they are the text."""
     out = []
+    # Words with blanks between them take two characters each at least.
+    dense = not text.isascii() and ANY_SPACELESS(text) is not None
+    short = LONG if dense else 2 * LONG
     for unit in UNIT(text):
-        if len(unit) <= LONG or len(tokens := TOKEN(unit)) <= LONG:
+        if len(unit) <= short or (not dense and len(unit.split()) <= LONG) or len(tokens := TOKEN(unit)) <= LONG:
             if unit:
                 out.append(unit)
             continue
