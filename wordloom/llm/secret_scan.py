@@ -25,7 +25,7 @@ HEX = "[0-9a-f]{32,}"
 RUN = "A-Za-z0-9+/_=-"
 #: Whole runs of 16 and more token characters, however long. Where letters or digits are missing, three marks in a row, as in ruled lines, end a run.
 #: The lookaheads start at a run's beginning only and nothing is given back, so that a text takes linear time and no stack.
-CANDIDATE = "(?<![" + RUN + "])(?=[A-Za-z+/_=-]*+[0-9])(?=[0-9+/_=-]*+[A-Za-z])[" + RUN + "]{16,}+|(?:[A-Za-z0-9]|[+/_=-](?![+/_=-]{2})){16,}+"
+CANDIDATE = "(?=[" + RUN + "]{16})(?:(?<![" + RUN + "])(?=[A-Za-z+/_=-]*+[0-9])(?=[0-9+/_=-]*+[A-Za-z])[" + RUN + "]{16,}+|(?:[A-Za-z0-9]|[+/_=-](?![+/_=-]{2})){16,}+)"
 SPAN = "array<struct<start:bigint,kind:int,end:bigint>>"
 
 
