@@ -49,11 +49,13 @@ def doc_lengths(tokens: DataFrame) -> DataFrame:
 def dictionary(tokens: DataFrame) -> DataFrame:
     """term and term_id: dense, from 0, in order of first appearance by document and place.
 
-    Dense numbers need a total order; it is taken over terms, of which there are
-    far fewer than tokens, after the minimum is found in parallel.
+    Dense numbers need a total order; terms take theirs from range partitions and
+    these partitions' sizes, after the minimum is found in parallel.
     """
+    from wordloom.operators.graph import global_rank
+
     first = tokens.groupBy("term").agg(F.min(F.struct("doc_id", "pos")).alias("first"))
-    return first.select("term", (F.row_number().over(Window.orderBy("first", "term")) - 1).cast("long").alias("term_id"))
+    return global_rank(first, [F.asc("first"), F.asc("term")]).select("term", (F.col("rank") - 1).cast("long").alias("term_id"))
 
 
 def extents(docs: DataFrame) -> DataFrame:

@@ -56,7 +56,8 @@ def cosine(index: Index, terms: list[str]) -> DataFrame:
 
 def query_likelihood(index: Index, terms: list[str], smoothing: str = "jm", weight: float = 0.5) -> DataFrame:
     """exp of the sum of ln((1 - weight) tf / length + weight cf / C); with smoothing="none" the second part is 0."""
-    lengths = index.doc_tf.groupBy("doc_id").agg(F.sum("tf").alias("doc_len"))
+    # Only the matched documents' lengths are summed.
+    lengths = index.doc_tf.join(match_all(index.doc_tf, terms).select("doc_id"), "doc_id", "left_semi").groupBy("doc_id").agg(F.sum("tf").alias("doc_len"))
     total = index.term_stats.agg(F.sum("cf").alias("total_tf"))
     stats = index.term_stats.where(F.col("term").isin(terms)).select("term", "cf")
     joined = hits(index, terms).join(F.broadcast(stats), "term").join(lengths, "doc_id").join(F.broadcast(total))
@@ -125,7 +126,10 @@ def batch_cosine(index: Index, queries: DataFrame, k: int) -> DataFrame:
     n = index.docs.agg(F.count("*").alias("n_docs"))
     sizes = queries.groupBy("query_id").agg(F.count("*").alias("terms"))
     idf = queries.join(index.term_stats, "term").join(F.broadcast(n)).select("query_id", "term", F.ln(F.col("n_docs") / F.col("df")).alias("idf"))
-    rows = index.doc_tf.join(idf, "term").join(index.norms(), "doc_id")
+    met = index.doc_tf.join(idf, "term")
+    # Norms are those of documents that some query matches in full.
+    matched = met.groupBy("query_id", "doc_id").agg(F.count("*").alias("found")).join(sizes, "query_id").where("found = terms").select("doc_id").distinct()
+    rows = met.join(index.norms(matched), "doc_id")
     summed = rows.groupBy("query_id", "doc_id").agg(F.count("*").alias("found"), F.sum(F.col("tf") / F.col("doc_len") * F.col("idf") * F.col("idf")).alias("dot"), F.sum(F.col("idf") * F.col("idf")).alias("q2"), F.first("norm").alias("norm"))
     full = summed.join(sizes, "query_id").where("found = terms").select("query_id", "doc_id", F.coalesce(F.try_divide("dot", F.col("norm") * F.sqrt("q2")), F.lit(0.0)).alias("score"))
     ranked = full.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")).cast("long"))

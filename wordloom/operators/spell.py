@@ -13,10 +13,14 @@ def within(words: DataFrame, vocabulary: DataFrame, most: int = 2) -> DataFrame:
 
     Both sides are expanded by leaving characters out, which lets an equi-join
     find every such pair; only those pairs go through the distance function.
+    Short words, of which nothing may be left, all share the empty key: there the
+    words are dealt out and the vocabulary's repeated, so that no task has all.
     """
-    key = F.explode(distance.deletions(F.col("w"), most)).alias("key")
-    left = words.select(F.col("wrong").alias("w")).distinct().select("w", key).withColumnRenamed("w", "wrong")
-    right = vocabulary.select(F.col("term").alias("w")).distinct().select("w", key).withColumnRenamed("w", "term")
+    keys, deals = distance.deletions(F.col("w"), most), 16
+    dealt = lambda x, salt: F.when(x == "", F.concat(F.lit("\x00"), salt.cast("string"))).otherwise(x)
+    salts = F.when(F.length("w") <= most, F.transform(F.sequence(F.lit(0), F.lit(deals - 1)), lambda k: F.concat(F.lit("\x00"), k.cast("string")))).otherwise(F.array().cast("array<string>"))
+    left = words.select(F.col("wrong").alias("w")).distinct().select("w", F.explode(F.transform(keys, lambda x: dealt(x, F.pmod(F.xxhash64("w"), F.lit(deals))))).alias("key")).withColumnRenamed("w", "wrong")
+    right = vocabulary.select(F.col("term").alias("w")).distinct().select("w", F.explode(F.concat(F.filter(keys, lambda x: x != ""), salts)).alias("key")).withColumnRenamed("w", "term")
     pairs = left.join(right, "key").where(F.abs(F.length("wrong") - F.length("term")) <= most).select("wrong", "term").distinct()
     return pairs.withColumn("distance", distance.dl_distance("wrong", "term")).where(F.col("distance") <= most)
 

@@ -41,6 +41,12 @@ def first_seen(items: DataFrame, key: list[str], order: list[str], since: date |
     return picked.select(*key, "__row.*").select(*items.columns)
 
 
+def feed_counts(items: DataFrame, accepted: DataFrame) -> DataFrame:
+    """One row about a pass over feed items: the latest date, how many were accepted, and how many were not (duplicates, or too old)."""
+    seen = items.agg(F.max("ts").alias("latest"), F.count("*").alias("seen"))
+    return seen.join(F.broadcast(accepted.agg(F.count("*").alias("accepted")))).select("latest", "accepted", (F.col("seen") - F.col("accepted")).alias("duplicates"))
+
+
 def with_default_date(items: DataFrame, now: Column, source: str = "Xinhua") -> DataFrame:
     """ts is the crawl's time where it is missing or the source's dates are not to be trusted."""
     return items.withColumn("ts", F.when(F.col("ts").isNull() | (F.col("source") == source), now).otherwise(F.col("ts")))

@@ -204,13 +204,13 @@ def vbyte_sizes(spark, sf_dir):
     return index.coded_sizes(_tf(spark, sf_dir))
 
 
-@query(f"WITH {TOK} SELECT doc_id, term, count(*) AS entries FROM tok GROUP BY ALL")
+@query(f"WITH {TOK}, d AS (SELECT doc_id, term, pos, pos - lag(pos, 1, 0) OVER (PARTITION BY doc_id, term ORDER BY pos) AS delta FROM tok) SELECT doc_id, term, count(*) AS tf, string_agg(delta::VARCHAR, ',' ORDER BY pos) AS deltas FROM d GROUP BY doc_id, term")
 def vbyte_round_trip(spark, sf_dir):
-    """The code of every posting, decoded again: its length says how often the term occurs."""
+    """The code of every posting, decoded again: how often the term occurs, and its places' differences."""
     from wordloom.functions import codec
 
-    rows = index.coded(index.postings(_tokens(spark, sf_dir)))
-    return rows.select("doc_id", "term", (F.size(codec.decoded("code")) - 1).cast("long").alias("entries"))
+    rows = index.coded(index.postings(_tokens(spark, sf_dir))).withColumn("back", codec.decoded("code"))
+    return rows.select("doc_id", "term", F.get("back", F.lit(0)).cast("long").alias("tf"), F.array_join(F.slice("back", F.lit(2), F.size("back")).cast("array<string>"), ",").alias("deltas"))
 
 
 @query(f"WITH s AS (SELECT doc_id, len(regexp_extract_all(lower(split_part(text, chr(10), 1)), {RE})) AS t, len(regexp_extract_all(lower(text), {RE})) AS n FROM documents) SELECT doc_id, 'TITLE' AS field, 0::BIGINT AS start_pos, t AS end_pos FROM s UNION ALL SELECT doc_id, 'CONTENT', t, n FROM s")
@@ -390,17 +390,14 @@ def search_json(spark, sf_dir):
     return request.search(_rich_index(spark, sf_dir), request.SearchRequest.parse("query=er+%22of+the%22&ranker=conjunctive&format=json"))
 
 
-@query(f"WITH {TF}, {_hits(['the', 'with'])} SELECT concat_ws(chr(9), doc_id, split_part(text, chr(10), 1)) AS line FROM (SELECT doc_id, sum(tf) AS s FROM hits GROUP BY doc_id ORDER BY s DESC, doc_id LIMIT 10) JOIN documents USING (doc_id)")
+FIX = "fix AS (SELECT term FROM stats WHERE regexp_matches(term, '^[a-z]+$') AND damerau_levenshtein(term, 'tionn') = 1 ORDER BY cf DESC, term LIMIT 1)"
+
+
+@query(f"WITH {STATS}, {FIX} SELECT concat_ws(chr(9), doc_id, split_part(text, chr(10), 1)) AS line FROM (SELECT doc_id, tf FROM tf WHERE term = (SELECT term FROM fix) ORDER BY tf DESC, doc_id LIMIT 10) JOIN documents USING (doc_id)")
 def zero_hit_rewrite(spark, sf_dir):
-    """A conjunction whose second term is known to no document is corrected and run again."""
-    ix = _index(spark, sf_dir)
-    fixes = {"withh": "with"}
-    terms = ["the", "withh"]
-    best = rank.conjunctive(ix, terms)
-    if best.isEmpty():
-        best = rank.conjunctive(ix, [fixes.get(t, t) for t in terms])
-    rows = rank.top(ix, best, 10).join(ix.docs.select("doc_id", "title"), "doc_id")
-    return rows.select(F.concat_ws("\t", F.col("doc_id").cast("string"), "title").alias("line"))
+    """A query whose only term no document knows is corrected by search itself, and run again."""
+    found = request.search(_index(spark, sf_dir), request.SearchRequest.parse("query=tionn&ranker=conjunctive&checker=bk&num=10"))
+    return found.select(F.concat_ws("\t", F.split(F.col(found.columns[0]), "\t")[0], F.split(F.col(found.columns[0]), "\t")[1]).alias("line"))
 
 
 @query()
@@ -469,7 +466,7 @@ def pagerank_2iter(spark, sf_dir):
     return _rounded(graph.page_rank(*_bought(spark, sf_dir)), "page_rank")
 
 
-@query()
+@query(f"WITH {BOUGHT}, r0 AS (SELECT id, 1.0::DOUBLE AS pr FROM v), {', '.join(ROUND.format(i=i, j=i - 1).replace(' AS (', ' AS MATERIALIZED (', 1) for i in range(1, 11))} SELECT id, round(pr, 6) AS page_rank FROM r10")
 def pagerank_10iter(spark, sf_dir):
     return _rounded(graph.page_rank(*_bought(spark, sf_dir), iterations=10), "page_rank")
 
@@ -548,9 +545,22 @@ def eval_interpolated(spark, sf_dir):
     return _rounded(evaluate.interpolated(*_ranked(spark, sf_dir)), "precision")
 
 
-@query()
+def _report_sql() -> str:
+    """The wide rows, from the SQL of each metric."""
+    wide = lambda values, key, keys, name: f"SELECT query, {', '.join(f'max({v}) FILTER ({key} = {k}) AS {a}_{k}' for v, a in values for k in keys)} FROM ({ORACLE_SQL[name]}) GROUP BY query"
+    parts = [
+        wide([(v, v) for v in ("precision", "recall", "f")], "k", evaluate.CUTS, "eval_precision_recall_f"),
+        wide([("ndcg", "ndcg")], "k", evaluate.CUTS, "eval_ndcg"),
+        wide([("precision", "interpolated")], "recall_level", range(11), "eval_interpolated"),
+        ORACLE_SQL["eval_ap_rr"],
+    ]
+    return "SELECT * FROM " + " JOIN ".join(f"({x}) p{k}" + " USING (query)" * (k > 0) for k, x in enumerate(parts))
+
+
+@query(_report_sql())
 def eval_report(spark, sf_dir):
-    return evaluate.report(*_ranked(spark, sf_dir))
+    rows = evaluate.report(*_ranked(spark, sf_dir))
+    return _rounded(rows, *[c for c in rows.columns if c != "query"])
 
 
 # Spelling: the benchmark's words without their second letter, against the English documents' words
@@ -598,22 +608,28 @@ def corrected_query(spark, sf_dir):
     return spell.corrected_query(tokens, spell.suggestions(_tiers(spark, sf_dir), 1), words)
 
 
-@query()
-def spell_ngram(spark, sf_dir):
-    asked, words = _english(spark, sf_dir)
-    return spell.gram_suggestions(asked, spell.gram_index(words), words)
+GRAMS = "SELECT {x} AS w, substr({x}, i, k) AS gram FROM {t}, (SELECT unnest(range(1, 5)) AS k), LATERAL (SELECT unnest(range(1, length({x}) - k + 2)) AS i) WHERE length({x}) > 3"
 
 
-GRAMS = "SELECT {x} AS w, substr({x}, i, k) AS gram FROM {t}, (SELECT unnest(range(1, 5)) AS k), LATERAL (SELECT unnest(range(1, length({x}) - k + 2)) AS i) WHERE length({x}) > 3"
+SHARED_GRAMS = f"WITH {ENGLISH} SELECT a.w AS wrong, b.w AS term, count(*) AS shared FROM (SELECT DISTINCT w, gram FROM ({GRAMS.format(x='wrong', t='wrongs')}) WHERE (length(w) > 5 AND length(gram) IN (3, 4)) OR (length(w) = 5 AND length(gram) IN (2, 3)) OR (length(w) < 5 AND length(gram) IN (1, 2))) a JOIN (SELECT DISTINCT w, gram FROM ({GRAMS.format(x='term', t='en')})) b USING (gram) WHERE abs(length(a.w) - length(b.w)) <= 1 GROUP BY ALL"
 
 
-@query(f"WITH {ENGLISH} SELECT a.w AS wrong, b.w AS term, count(*) AS shared FROM (SELECT DISTINCT w, gram FROM ({GRAMS.format(x='wrong', t='wrongs')}) WHERE (length(w) > 5 AND length(gram) IN (3, 4)) OR (length(w) = 5 AND length(gram) IN (2, 3)) OR (length(w) < 5 AND length(gram) IN (1, 2))) a JOIN (SELECT DISTINCT w, gram FROM ({GRAMS.format(x='term', t='en')})) b USING (gram) WHERE abs(length(a.w) - length(b.w)) <= 1 GROUP BY ALL")
+@query(SHARED_GRAMS)
 def spell_shared_grams(spark, sf_dir):
     asked, words = _english(spark, sf_dir)
     grams = asked.select("wrong", F.explode(F.array_distinct(text.ngrams(F.col("wrong"), 1, 4))).alias("gram")).where(F.array_contains(spell.gram_sizes(F.col("wrong")), F.length("gram")))
     return grams.join(spell.gram_index(words), "gram").where("abs(length(wrong) - length(term)) <= 1").groupBy("wrong", "term").agg(F.count("*").alias("shared"))
 
 
+LIMIT = "CASE WHEN length(wrong) > 10 THEN 2 ELSE 1 END"
+
+
+@query(f"WITH {ENGLISH}, s AS ({SHARED_GRAMS.replace(f'WITH {ENGLISH} ', '').replace('<= 1 GROUP', '<= CASE WHEN length(a.w) > 10 THEN 2 ELSE 1 END GROUP')}), d AS (SELECT wrong, term, shared, damerau_levenshtein(wrong, term) AS distance FROM s WHERE levenshtein(wrong, term) <= 4), r AS (SELECT wrong, term, shared, distance, cf, row_number() OVER (PARTITION BY wrong ORDER BY distance, cf DESC, term) AS rank FROM d JOIN en USING (term) WHERE distance <= {LIMIT}) SELECT * FROM r WHERE rank <= 10")
+def spell_ngram(spark, sf_dir):
+    asked, words = _english(spark, sf_dir)
+    return spell.gram_suggestions(asked, spell.gram_index(words), words)
+
+
 @query(f"WITH {TIER}, t AS (SELECT DISTINCT w AS term, concat(substr(w, 1, 1), substr(w, 3)) AS wrong FROM (SELECT unnest(regexp_extract_all(lower(text), {RE})) AS w FROM benchmark) WHERE regexp_matches(w, '^[a-z]{{4,}}$')) SELECT count(*) AS n, round(avg(CASE WHEN best.term = t.term THEN 1.0 ELSE 0.0 END), 6) AS correct, round(avg(CASE WHEN best.term IS NULL THEN 1.0 ELSE 0.0 END), 6) AS not_found FROM t LEFT JOIN best ON best.wrong = t.wrong AND rank = 1")
 def eval_spelling(spark, sf_dir):
     tests = _words(_t(spark, sf_dir, "benchmark")).where("length(term) >= 4").distinct().select(F.expr("concat(substr(term, 1, 1), substr(term, 3))").alias("wrong"), F.col("term").alias("right"))
@@ -674,11 +690,21 @@ def grade_ladder(spark, sf_dir):
     return _topics(spark, sf_dir).select("doc_id", topics.grade(F.col("proportion")).alias("grade"))
 
 
-@query(f"SELECT user_id, event_type, min(event_id) AS event_id FROM events WHERE ts >= DATE '{FIRST_DAY}' AND user_id NOT IN (SELECT c_custkey FROM customer) GROUP BY user_id, event_type")
+@query(f"SELECT user_id, event_type, min(event_id) AS event_id FROM events WHERE ts >= DATE '{FIRST_DAY}' AND user_id NOT IN (SELECT c_custkey FROM customer WHERE c_custkey % 2 = 0) GROUP BY user_id, event_type")
 def dedup_first_seen(spark, sf_dir):
+    return _first_seen(spark, sf_dir)[1].select("user_id", "event_type", "event_id")
+
+
+def _first_seen(spark, sf_dir):
+    """Events, and the first of each user and type that no even customer had."""
     items = _t(spark, sf_dir, "events").select("user_id", "event_type", "event_id", "ts")
-    known = _t(spark, sf_dir, "customer").select(F.col("c_custkey").alias("user_id")).distinct().join(items.select("event_type").distinct())
-    return topics.first_seen(items, ["user_id", "event_type"], ["event_id"], FIRST_DAY, known).select("user_id", "event_type", "event_id")
+    known = _t(spark, sf_dir, "customer").where("c_custkey % 2 = 0").select(F.col("c_custkey").alias("user_id")).distinct().join(F.broadcast(items.select("event_type").distinct()))
+    return items, topics.first_seen(items, ["user_id", "event_type"], ["event_id"], FIRST_DAY, known)
+
+
+@query(f"WITH a AS (SELECT DISTINCT user_id, event_type FROM events WHERE ts >= DATE '{FIRST_DAY}' AND user_id NOT IN (SELECT c_custkey FROM customer WHERE c_custkey % 2 = 0)), n AS (SELECT count(*) AS accepted FROM a) SELECT epoch(max(date_trunc('second', ts)))::BIGINT AS latest, any_value(accepted) AS accepted, count(*) - any_value(accepted) AS duplicates FROM events, n")
+def feed_counters(spark, sf_dir):
+    return topics.feed_counts(*_first_seen(spark, sf_dir)).withColumn("latest", F.unix_timestamp(F.date_trunc("second", "latest")))
 
 
 @query("SELECT event_id, epoch(CASE WHEN event_id % 5 = 4 THEN NULL WHEN event_id % 5 < 2 THEN date_trunc('day', ts) ELSE date_trunc('second', ts) END)::BIGINT AS seconds FROM events")
@@ -754,3 +780,90 @@ def stream_dedup(spark, sf_dir):
     fresh = feeds.new_items(_event_stream(spark, sf_dir), ["user_id", "event_type"], late="365 days").select("user_id", "event_type")
     feeds.to_table(fresh, f"{out}/rows", f"{out}/state").awaitTermination()
     return spark.read.schema(fresh.schema).parquet(f"{out}/rows")
+
+
+# Files: rows of the tables written as a source's format, and read again
+
+
+@query(ORACLE_SQL["rank_cosine"])
+def rank_cosine_saved(spark, sf_dir):
+    """Served from an index that was saved and loaded again."""
+    path = _shared(spark)
+    _index(spark, sf_dir, keep=True).save(path)
+    ix = Index.load(spark, path)
+    return _best(ix, rank.cosine(ix, TERMS))
+
+
+@query("SELECT event_id::VARCHAR AS doc_id, (user_id % 20)::INT AS topic_id, round(value, 4) AS proportion FROM events")
+def source_doc_topics(spark, sf_dir):
+    path = _shared(spark)
+    sinks.delimited(_t(spark, sf_dir, "events").select("user_id", "event_id", F.col("user_id") % 20, "value"), path)
+    return readers.doc_topics(spark, path).withColumn("proportion", F.round("proportion", 4))
+
+
+@query("SELECT n_nationkey AS topic_id, lower(n_name) || ' ' || n_regionkey AS terms FROM nation")
+def source_topic_keys(spark, sf_dir):
+    path = _shared(spark)
+    sinks.delimited(_t(spark, sf_dir, "nation").select("n_nationkey", F.lit(0.5), F.concat_ws(" ", F.lower("n_name"), "n_regionkey")), path)
+    return readers.topic_keys(spark, path)
+
+
+@query("SELECT 'q' || toxic AS query, doc_id, CASE WHEN quality = 1 THEN 'Good' ELSE 'Bad' END AS grade FROM labels")
+def source_judgements(spark, sf_dir):
+    path = _shared(spark)
+    sinks.delimited(_t(spark, sf_dir, "labels").select(F.concat(F.lit("q"), "toxic"), "doc_id", F.when(F.col("quality") == 1, "Good").otherwise("Bad")), path)
+    return readers.judgements(spark, path)
+
+
+@query(f"WITH {TOK} SELECT DISTINCT term FROM tok WHERE regexp_matches(term, '^[a-zA-Z]+$')")
+def source_words(spark, sf_dir):
+    path = _shared(spark)
+    sinks.text_lines(_tokens(spark, sf_dir).select("term").distinct(), path)
+    return readers.words(spark, path)
+
+
+@query("SELECT source, '2024-01-01' AS \"pubDate\", coalesce(split_part(text, chr(10), 1), '') AS title, lang || ' ' || text AS body, 'http://n/' || doc_id AS link FROM (SELECT doc_id, text, coalesce(lang, '') AS lang, source FROM documents)")
+def source_news(spark, sf_dir):
+    path, docs = _shared(spark), _t(spark, sf_dir, "documents")
+    sinks.json_lines(docs.select("source", F.lit("2024-01-01").alias("pubDate"), F.split("text", "\n")[0].alias("title"), F.coalesce("lang", F.lit("")).alias("description"), F.lit("").alias("fullDoc"), F.col("text").alias("content"), F.concat(F.lit("http://n/"), "doc_id").alias("link")), path)
+    return readers.news(spark, path)
+
+
+@query("SELECT 'm' || n_nationkey AS title, CASE WHEN n_nationkey % 2 = 0 THEN r_name ELSE n_name END AS publisher FROM nation JOIN region ON n_regionkey = r_regionkey")
+def source_feed_messages(spark, sf_dir):
+    path = _shared(spark)
+    rows = _t(spark, sf_dir, "nation").join(F.broadcast(_t(spark, sf_dir, "region")), F.col("n_regionkey") == F.col("r_regionkey"))
+    entry = F.struct(F.concat(F.lit("m"), "n_nationkey").alias("title"), F.when(F.col("n_nationkey") % 2 == 1, F.col("n_name")).alias("publisher"))
+    sinks.json_lines(rows.groupBy(F.col("r_name").alias("publisher")).agg(F.collect_list(entry).alias("entries")), path)
+    return readers.feed_messages(spark, path).select("title", "publisher")
+
+
+@query("SELECT lower(n_name) || 'x' AS wrong, lower(n_name) AS right FROM nation UNION ALL SELECT 'x' || lower(n_name), lower(n_name) FROM nation")
+def source_misspellings(spark, sf_dir):
+    path, name = _shared(spark), F.lower("n_name")
+    lines = _t(spark, sf_dir, "nation").select(F.concat_ws("\n", F.concat(F.lit("$"), name), F.concat(name, F.lit("x")), F.concat(F.lit("x"), name)).alias("value"))
+    sinks.text_lines(lines.coalesce(1), path)
+    return readers.misspellings(readers.numbered(spark, path))
+
+
+@query("SELECT lower(n_name) AS right, unnest([lower(n_name) || 'a', lower(n_name) || 'b']) AS wrong FROM nation")
+def source_spelling_tests(spark, sf_dir):
+    path, name = _shared(spark), F.lower("n_name")
+    sinks.text_lines(_t(spark, sf_dir, "nation").select(F.concat(F.lit("'"), name, F.lit("': '"), name, F.lit("a "), name, F.lit("b',")).alias("value")), path)
+    return readers.spelling_tests(spark, path)
+
+
+@query("SELECT n_name AS title, 'about ' || lower(n_name) AS description, 'http://r/' || n_nationkey AS link FROM nation")
+def source_rss_items(spark, sf_dir):
+    path = _shared(spark)
+    item = F.concat(F.lit("<item><title>"), "n_name", F.lit("</title><description>about "), F.lower("n_name"), F.lit("</description><link>http://r/"), "n_nationkey", F.lit("</link></item>"))
+    whole = _t(spark, sf_dir, "nation").agg(F.concat(F.lit("<rss><channel>"), F.array_join(F.collect_list(item), "\n"), F.lit("</channel></rss>")).alias("value"))
+    sinks.text_lines(whole, path)
+    return readers.rss_items(spark, path).select("title", F.trim("description").alias("description"), "link")
+
+
+@query("SELECT count(*) AS n FROM documents")
+def source_line_count(spark, sf_dir):
+    path = _shared(spark)
+    sinks.text_lines(_t(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("value")), path)
+    return spark.createDataFrame([(readers.line_count(spark, path),)], "n long")
