@@ -106,6 +106,41 @@ def test_graph_ran(spark):
     assert got == brute([(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()])
 
 
+def test_large_family_is_bounded(monkeypatch):
+    """Members of a family that are near to all others and similar to few are told apart by their maps, not each compared with each; classes stay those of brute force."""
+    rng = random.Random(8)
+    base = [f"w{rng.randrange(5000)}" for _ in range(300)]
+    texts = [t for k in (2, 4, 8, 10, 12) for t in family(rng, " ".join(base), 80, k)]
+    own = [simhash_dedup.shingles(t) for t in texts]
+    bits = np.frombuffer(b"".join(map(simhash_dedup.simhash, own)), np.uint64).reshape(-1, 2)
+    real, tried = simhash_dedup.similarity, []
+    monkeypatch.setattr(simhash_dedup, "similarity", lambda a, b: tried.append(real(a, b)) or tried[-1])
+    want = brute(list(enumerate(texts)))
+    shard = simhash_dedup.Shard(bits, own)
+    shard.link()
+    assert len(set(want.values())) == len(set(shard.root.tolist())) == len(set(zip(want.values(), shard.root[list(want)].tolist())))
+    assert len(tried) < 3 * len(texts)
+    tried.clear()
+    simhash_dedup.Shard(bits, own, 200).link()
+    assert len(tried) < 3 * len(texts)
+
+
+def test_maps_lose_no_pair():
+    """No pair of similarity 0.8 or more is ruled out, at any size of sets."""
+    rng = np.random.default_rng(9)
+    for size in (1, 3, 9, 45, 400, 9000):
+        base = rng.integers(0, 1 << 32, size, dtype=np.uint32)
+        sets = []
+        for change in np.linspace(0, 0.3, 25):
+            new = rng.integers(0, 1 << 32, size, dtype=np.uint32)
+            sets.append(np.unique(np.where(rng.random(size) < change, new, base)))
+        shard = simhash_dedup.Shard(np.zeros((len(sets), 2), np.uint64), sets)
+        rows, others = np.triu_indices(len(sets), 1)
+        able = shard.possible(rows, others)
+        similar = np.array([simhash_dedup.similarity(sets[a], sets[b]) >= 0.8 for a, b in zip(rows, others)])
+        assert similar.any() and able[similar].all() and (size < 45 or not able.all())
+
+
 def test_components(spark):
     rng = random.Random(6)
     pairs = [(i, i + 1) for i in range(0, 60)] + [(100, 100 + i) for i in range(1, 50)] + [(rng.randrange(200, 400), rng.randrange(200, 400)) for _ in range(150)]

@@ -34,19 +34,30 @@ BITS = 44
 PLANNED, SHARD = 1024, 2048
 #: The beams; queries audited in each shard, and the recall below which its beams widen.
 BEAMS, AUDITED, GOAL = (16, 32, 64, 128), 16, 0.95
-WORDS = 300_000
+#: Bits of the maps that bound similarities from above, at most; about four times the mean set's size.
+WIDEST = 1 << 17
 
 _RNG = np.random.default_rng(20240501)
 _MULTIPLY = _RNG.integers(1, 1 << 63, KEYS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _ADD = _RNG.integers(0, 1 << 63, KEYS * ROWS, dtype=np.uint64)
-_HASHES: dict[str, int] = {}
 
 
 def mix(x: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser."""
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
+    x = x ^ (x >> np.uint64(30))
+    x *= np.uint64(0xBF58476D1CE4E5B9)
+    x ^= x >> np.uint64(27)
+    x *= np.uint64(0x94D049BB133111EB)
+    x ^= x >> np.uint64(31)
+    return x
+
+
+def distinct(x: np.ndarray) -> np.ndarray:
+    """x's values once each, in order; x is sorted in place."""
+    x.sort()
+    new = np.ones(len(x), bool)
+    np.not_equal(x[1:], x[:-1], out=new[1:])
+    return x[new]
 
 
 def shingles(text: str | None) -> np.ndarray:
@@ -54,17 +65,12 @@ def shingles(text: str | None) -> np.ndarray:
     words = words_of((text or "").lower())
     if not words:
         return np.zeros(0, np.uint64)
-    if len(_HASHES) > WORDS:
-        _HASHES.clear()
-    for w in words:
-        if w not in _HASHES:
-            _HASHES[w] = xxhash.xxh64_intdigest(w)
-    h = np.fromiter(map(_HASHES.__getitem__, words), np.uint64, len(words))
+    h = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
     n = max(1, len(words) - SHINGLE + 1)
     out = np.full(n, len(words) if len(words) < SHINGLE else SHINGLE, np.uint64)
     for k in range(min(SHINGLE, len(words))):
         out = mix(out * np.uint64(0x9E3779B97F4A7C15) + h[k : k + n])
-    return np.unique(out)
+    return distinct(out)
 
 
 def simhash(s: np.ndarray) -> bytes:
@@ -77,7 +83,7 @@ def simhash(s: np.ndarray) -> bytes:
 
 def keys(s: np.ndarray) -> list[int]:
     """One key for each pair of min-hashes."""
-    low = np.array([mix(s * m + a).min() for m, a in zip(_MULTIPLY, _ADD)]).reshape(KEYS, ROWS)
+    low = np.stack([mix(s[at : at + 2048] * _MULTIPLY[:, None] + _ADD[:, None]).min(1) for at in range(0, len(s), 2048)]).min(0).reshape(KEYS, ROWS)
     mixed = mix(low[:, 0] * np.uint64(31) + low[:, 1] + np.arange(KEYS, dtype=np.uint64))
     return mixed.view(np.int64).tolist()
 
@@ -86,7 +92,7 @@ def signatures(docs: DataFrame) -> DataFrame:
     """doc_id, the text's tag, and of its set the hash (null: no word), SimHash and keys of docs(doc_id, text); nothing of the text itself."""
 
     def make(batches):
-        claim("simhash_dedup", _HASHES.clear)
+        claim("simhash_dedup", lambda: None)
         for batch in batches:
             for at in range(0, batch.num_rows, 1024):
                 part = batch.slice(at, 1024)
@@ -107,11 +113,11 @@ def sets_of(docs: DataFrame) -> DataFrame:
     """The hash of each text's set, and the set as 32-bit hashes (sorted, little-endian), for comparing."""
 
     def make(batches):
-        claim("simhash_dedup", _HASHES.clear)
+        claim("simhash_dedup", lambda: None)
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 own = [shingles(t) for t in batch.column("text").slice(at, 256).to_pylist()]
-                raw = [np.unique((s >> np.uint64(32)).astype("<u4")).tobytes() for s in own]
+                raw = [distinct((s >> np.uint64(32)).astype("<u4")).tobytes() for s in own]
                 yield pa.RecordBatch.from_arrays([pa.array([xxhash.xxh128_digest(s.tobytes()) for s in own], pa.binary()), pa.array(raw, pa.binary())], names=["same", "set"])
 
     return docs.select("text").mapInArrow(make, "same binary, set binary")
@@ -137,15 +143,39 @@ class Shard:
     def __init__(self, bits: np.ndarray, sets: list[np.ndarray], count: int | None = None):
         self.bits, self.sets, self.count = bits, sets, len(sets) if count is None else count
         self.root, self.edges, self.failed = np.arange(len(sets)), [], set()
-
-    def try_pairs(self, rows: np.ndarray, others: np.ndarray) -> None:
-        for a, b in zip(rows.tolist(), others.tolist()):
+        self.sizes = np.array([len(s) for s in sets])
+        self.width = min(WIDEST, max(64, 1 << int(4 * self.sizes.mean()).bit_length()))
+        self.maps, self.mapped = np.zeros((len(sets), self.width // 64), np.uint64), np.zeros(len(sets), bool)
+
+    def possible(self, rows: np.ndarray, others: np.ndarray) -> np.ndarray:
+        """Whether these pairs may be similar, by their maps; never false of a pair that is.
+
+        In a map every element of a set flips the bit that its hash names, so that
+        two maps differ in no more bits than the sets do in elements.
+        """
+        for side in (rows, others):
+            for x in np.unique(side[~self.mapped[side]]) if not self.mapped[side].all() else ():
+                self.maps[x] = np.packbits((np.bincount(self.sets[x] & np.uint32(self.width - 1), minlength=self.width) & 1).astype(bool)).view(np.uint64)
+                self.mapped[x] = True
+        apart, step = np.empty(len(rows), np.int64), max(1, (1 << 25) // self.width)
+        for at in range(0, len(rows), step):
+            part = slice(at, at + step)
+            apart[part] = np.bitwise_count(self.maps[rows[part]] ^ self.maps[others[part]]).sum(1, dtype=np.int64)
+        # Sets of s elements together that differ in d have a similarity of (s - d) / (s + d).
+        return (1 + SIMILAR) * apart <= (1 - SIMILAR) * (self.sizes[rows] + self.sizes[others]) + 1e-3
+
+    def try_pairs(self, rows: np.ndarray, others: np.ndarray, again: bool = True) -> None:
+        """Compare the pairs that are not joined, in this order. again: they may come once more, so those that fail are remembered."""
+        apart = self.root[rows] != self.root[others]
+        rows, others = rows[apart], others[apart]
+        some = self.possible(rows, others) if len(rows) else apart[:0]
+        for a, b in zip(rows[some].tolist(), others[some].tolist()):
             if self.root[a] == self.root[b] or (pair := (min(a, b), max(a, b))) in self.failed:
                 continue
             if similarity(self.sets[a], self.sets[b]) >= SIMILAR:
                 self.root[self.root == self.root[b]] = self.root[a]
                 self.edges.append(pair)
-            else:
+            elif again:
                 self.failed.add(pair)
 
     def audit(self, world: SmallWorld, sample: np.ndarray, beam: int) -> tuple[int, int]:
@@ -182,10 +212,14 @@ class Shard:
             asking, beam = np.concatenate(full), 4 * beam
             if beam > BEAMS[-1]:
                 break
-        # The widest beam, for queries that are still full: all nodes that are not joined to them yet.
+        # The widest beam, for queries that are still full: all nodes that are not joined to them yet, and were not compared with them as queries.
+        left = np.ones(self.count, bool)
         for row in asking.tolist():
-            near = np.flatnonzero((hamming(self.bits[None, None, row], self.bits[None, : self.count])[0] <= BITS) & (self.root[: self.count] != self.root[row]))
-            self.try_pairs(np.full(len(near), row), near)
+            near = np.flatnonzero(left & (self.root[: self.count] != self.root[row]))
+            near = near[hamming(self.bits[None, None, row], self.bits[None, near])[0] <= BITS]
+            self.try_pairs(np.full(len(near), row), near, again=False)
+            if row < self.count:
+                left[row] = False
         return self.edges, (want, got)
 
 
