@@ -100,3 +100,12 @@ def test_sample_of_copies(spark):
     """A text that all rows share is drawn once at most."""
     df = spark.range(5000).selectExpr("'alpha beta gamma delta epsilon zeta' AS text").union(spark.range(50).selectExpr("concat('word other thing ', id) AS text"))
     assert secret_scan.identifiers(df, rows=200).where("label = 0").count() <= 51 * 12
+
+
+def test_texts_are_searched_once(spark, sf_dir):
+    """Spark makes an array anew for each mention: the matches are named once, and only the drawn texts are read for both labels."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    found = docs.select(secret_scan.located(F.col("text"), secret_scan.CANDIDATE).alias("x"))
+    plan = found._jdf.queryExecution().analyzed().toString()
+    assert plan.count("regexp_extract_all(") == 1 and plan.count("split(") == 1
+    assert not any("documents.parquet" in f for f in secret_scan.identifiers(docs).inputFiles())

@@ -14,7 +14,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import unused
+from .shared import Scratch, unused
 
 KINDS = ["assign", "access", "hex", "markov"]
 VALUE = "[A-Za-z0-9+/_.=-]"
@@ -32,14 +32,15 @@ SPAN = "array<struct<start:bigint,kind:int,end:bigint>>"
 def located(text: Column, pattern: str, group: int = 0) -> Column:
     """The matches' (start, end, value) in characters, from the lengths of matches and of what lies between; null where there is none."""
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    gaps = F.split(text, pattern, -1)
-    steps = F.arrays_zip(F.transform(gaps, F.length).alias("gap"), F.transform(found, F.length).alias("hit"), (F.regexp_extract_all(text, F.lit(pattern), F.lit(group)) if group else found).alias("value"))
+    gaps = F.transform(F.split(text, pattern, -1), F.length)
+    # Spark makes an array anew for each mention under a condition, so each is named once.
+    steps = F.arrays_zip(gaps.alias("gap"), found.alias("hit"), *([F.regexp_extract_all(text, F.lit(pattern), F.lit(group)).alias("value")] if group else []))
     start = F.struct(F.lit(0).cast("long").alias("at"), F.expr("cast(array() as array<struct<start:bigint,end:bigint,value:string>>)").alias("out"))
 
     def step(acc: Column, x: Column) -> Column:
         begin = acc["at"] + x["gap"]
-        end = begin + F.coalesce(x["hit"], F.lit(0))
-        hit = F.struct(begin.alias("start"), end.alias("end"), x["value"].alias("value"))
+        end = begin + F.coalesce(F.length(x["hit"]), F.lit(0))
+        hit = F.struct(begin.alias("start"), end.alias("end"), x["value" if group else "hit"].alias("value"))
         return F.struct(end.alias("at"), F.when(x["hit"].isNull(), acc["out"]).otherwise(F.concat(acc["out"], F.array(hit))).alias("out"))
 
     return F.when(text.rlike(pattern), F.aggregate(steps, start, step, lambda a: a["out"]))
@@ -62,6 +63,8 @@ def identifiers(docs: DataFrame, rows: int = 2000) -> DataFrame:
     n = docs.count()
     text = F.coalesce(F.col("text"), F.lit(""))
     drawn = docs.select(text.alias("text")).where(F.pmod(F.xxhash64("text"), F.lit(1 << 30)) < min(1.0, rows / max(n, 1)) * (1 << 30)).distinct()
+    # Written, as both labels and both of train()'s passes read it: docs are read for it once.
+    drawn = Scratch(docs.sparkSession, "identifiers").keep(drawn, "drawn")
     words = F.regexp_extract_all("text", F.lit("[A-Za-z]{2,}"), F.lit(0))
     trio = drawn.select(words.alias("w")).select(F.explode(F.expr("transform(sequence(0, size(w) div 3), i -> struct(get(w, 3 * i) as a, get(w, 3 * i + 1) as b, get(w, 3 * i + 2) as c, i))")).alias("x")).select("x.*").where("c is not null")
     made = trio.select(
