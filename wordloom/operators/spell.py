@@ -72,15 +72,15 @@ def gram_sizes(term):
     return F.when(n > 5, F.array(F.lit(3), F.lit(4))).when(n == 5, F.array(F.lit(2), F.lit(3))).otherwise(F.array(F.lit(1), F.lit(2)))
 
 
-def gram_suggestions(words: DataFrame, index: DataFrame, frequencies: DataFrame, threshold: int | None = None, n: int = 10) -> DataFrame:
-    """wrong, term, shared, distance, cf, rank: words that share grams, within the threshold in length and in restricted edit distance, nearest first, then frequency, then term."""
+def gram_suggestions(words: DataFrame, index: DataFrame, frequencies: DataFrame, threshold: int | None = None, n: int = 10, measure=distance.osa_distance) -> DataFrame:
+    """wrong, term, shared, distance, cf, rank: words that share grams, within the threshold in length and in edit distance (restricted, unless measure says else), nearest first, then frequency, then term."""
     limit = F.lit(threshold) if threshold is not None else F.when(F.length("wrong") > 10, 2).otherwise(1)
     grams = words.select("wrong", F.explode(F.array_distinct(text.ngrams(F.col("wrong"), 1, 4))).alias("gram")).where(F.array_contains(gram_sizes(F.col("wrong")), F.length("gram")))
     near = grams.join(index, "gram").where(F.abs(F.length("wrong") - F.length("term")) <= limit)
     pairs = near.groupBy("wrong", "term").agg(F.count("*").alias("shared"))
     # The plain distance is at most twice the one with transpositions, so this is a sound filter inside the JVM.
     pairs = pairs.where((limit >= 3) | (F.levenshtein("wrong", "term") <= 2 * limit))
-    found = pairs.withColumn("distance", distance.osa_distance("wrong", "term")).where(F.col("distance") <= limit)
+    found = pairs.withColumn("distance", measure("wrong", "term")).where(F.col("distance") <= limit)
     rows = found.join(frequencies.select("term", "cf"), "term", "left").withColumn("cf", F.coalesce("cf", F.lit(0).cast("long")))
     rank = F.row_number().over(Window.partitionBy("wrong").orderBy("distance", F.desc("cf"), "term"))
     return rows.withColumn("rank", rank.cast("long")).where(F.col("rank") <= n).select("wrong", "term", "shared", "distance", "cf", "rank")
