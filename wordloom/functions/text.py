@@ -37,6 +37,26 @@ def tokens(text: Column, rich: bool = False) -> Column:
     return F.regexp_extract_all(F.lower(F.regexp_replace(text, URL, " ")), F.lit(RICH), F.lit(0))
 
 
+def _runs(ordered: Column, differs, row) -> Column:
+    """row(first place from 0, length) of every run of an ordered array; differs(place) says whether a run ends before it."""
+    ends = F.filter(F.sequence(F.lit(1), F.size(ordered)), lambda i: F.coalesce(differs(i), F.lit(True)))
+    start = lambda e, k: F.coalesce(F.get(e, k - 1), F.lit(0))
+    return _let(ends, lambda e: F.transform(e, lambda end, k: row(start(e, k), end - start(e, k))))
+
+
+def counted(tokens: Column) -> Column:
+    """Each different token as a struct of term and tf, in order, counted within the row."""
+    row = lambda s: lambda at, n: F.struct(F.get(s, at).alias("term"), n.cast("long").alias("tf"))
+    return F.when(F.size(tokens) > 0, _let(F.sort_array(tokens), lambda s: _runs(s, lambda i: F.get(s, i) != F.get(s, i - 1), row(s))))
+
+
+def placed(tokens: Column) -> Column:
+    """Each different token as a struct of term, tf and its sorted positions, in order, gathered within the row."""
+    row = lambda s: lambda at, n: F.struct(F.get(s, at)["term"].alias("term"), n.cast("long").alias("tf"), F.transform(F.slice(s, at + 1, n), lambda x: x["pos"]).alias("positions"))
+    pairs = F.sort_array(F.transform(tokens, lambda t, i: F.struct(t.alias("term"), i.cast("long").alias("pos"))))
+    return F.when(F.size(tokens) > 0, _let(pairs, lambda s: _runs(s, lambda i: F.get(s, i)["term"] != F.get(s, i - 1)["term"], row(s))))
+
+
 def token_type(term: Column) -> Column:
     """NUMERIC, IDEOGRAPHIC, HIRAGANA, KATAKANA, HANGUL, SOUTHEAST_ASIAN or WORD."""
     return (

@@ -2,28 +2,74 @@
 
 Nothing is assigned a dense number on the way: terms join as strings, which
 Parquet's dictionaries store as cheaply, and documents keep their ids. Counts
-are partial before every shuffle, and a document's tokens are counted where the
-document is read, so a frequent term is no hot key.
+are partial before every shuffle, and a document's tokens are counted and placed
+in the row where the document is read, without a shuffle, so a frequent term is
+no hot key.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from wordloom.functions import codec, text
 from wordloom.operators.graph import written
 
+#: Postings in a part of a saved index.
+PART_ROWS = 2_000_000
+
+
+def _tokens_of(docs: DataFrame, rich: bool) -> Column:
+    return text.tokens(F.concat_ws("\n", "title", "body") if "title" in docs.columns else F.col("text"), rich)
+
 
 def token_rows(docs: DataFrame, stem: bool = False, rich: bool = False) -> DataFrame:
     """doc_id, term, pos: the tokens of title and body, positions running on from 0."""
-    joined = F.concat_ws("\n", "title", "body") if "title" in docs.columns else F.col("text")
-    rows = docs.select("doc_id", F.posexplode(text.tokens(joined, rich)).alias("pos", "term"))
+    rows = docs.select("doc_id", F.posexplode(_tokens_of(docs, rich)).alias("pos", "term"))
     return rows.select("doc_id", (text.stem(F.col("term")) if stem else F.col("term")).alias("term"), F.col("pos").cast("long").alias("pos"))
 
 
+def _ids_repeat(docs: DataFrame) -> bool:
+    """Whether rows share a doc_id, so that they have to be brought together. Reads and shuffles ids only."""
+    return not docs.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").isEmpty()
+
+
+def doc_counts(docs: DataFrame, stem: bool = False, rich: bool = False, repeat: bool | None = None) -> DataFrame:
+    """A row per document: doc_id, doc_len and counts, an array of term and tf. Nothing is shuffled unless rows share a doc_id (repeat: whether they do, where that is known)."""
+    if _ids_repeat(docs) if repeat is None else repeat:
+        tf = doc_tf(token_rows(docs, stem, rich))
+        return tf.groupBy("doc_id").agg(F.sum("tf").alias("doc_len"), F.sort_array(F.collect_list(F.struct("term", "tf"))).alias("counts"))
+    rows = _words(docs, stem, rich)
+    return rows.select("doc_id", F.size("words").cast("long").alias("doc_len"), text.counted(F.col("words")).alias("counts"))
+
+
+def _words(docs: DataFrame, stem: bool, rich: bool) -> DataFrame:
+    """doc_id and words. Filters on what is made of the words, even those that Spark infers, would make them again."""
+    words = _tokens_of(docs, rich)
+    return docs.select("doc_id", (F.transform(words, lambda t: text.stem(t)) if stem else words).alias("words"))
+
+
+def doc_terms(docs: DataFrame, stem: bool = False, rich: bool = False, repeat: bool | None = None) -> DataFrame:
+    """doc_tf(token_rows(docs)), made row by row; see doc_counts."""
+    if _ids_repeat(docs) if repeat is None else repeat:
+        return doc_tf(token_rows(docs, stem, rich))
+    return _words(docs, stem, rich).select("doc_id", F.inline(text.counted(F.col("words"))))
+
+
+def doc_postings(docs: DataFrame, stem: bool = False, rich: bool = False, repeat: bool | None = None) -> DataFrame:
+    """The postings of documents, like postings(token_rows(docs)), made row by row; see doc_counts."""
+    if _ids_repeat(docs) if repeat is None else repeat:
+        return postings(token_rows(docs, stem, rich))
+    return _words(docs, stem, rich).select("doc_id", F.inline(text.placed(F.col("words"))))
+
+
+def flat(counts: DataFrame) -> DataFrame:
+    """doc_counts as rows of doc_id, term and tf."""
+    return counts.select("doc_id", F.inline("counts"))
+
+
 def postings(tokens: DataFrame) -> DataFrame:
     """doc_id, term, tf and sorted positions."""
     return tokens.groupBy("doc_id", "term").agg(F.count("*").alias("tf"), F.sort_array(F.collect_list("pos")).alias("positions"))
@@ -108,44 +154,56 @@ class Index:
     doc_tf: DataFrame
     term_stats: DataFrame
     doc_stats: DataFrame
+    counts: DataFrame
+    postings: DataFrame
 
     @classmethod
     def build(cls, docs: DataFrame, stem: bool = False, rich: bool = False, page_rank: DataFrame | None = None, views: DataFrame | None = None, keep: bool = False) -> Index:
         """keep writes the counts to the shared folder first, so that rankers that read them several times tokenise once."""
-        rows = token_rows(docs, stem, rich)
-        tf = written(doc_tf(rows), "doc-tf") if keep else doc_tf(rows)
+        repeat = _ids_repeat(docs)
+        counts = doc_counts(docs, stem, rich, repeat)
+        counts = written(counts, "doc-counts") if keep else counts
+        tf = flat(counts) if keep else doc_terms(docs, stem, rich, repeat)
         stats = term_stats(tf)
-        titled = enriched(docs, page_rank, views)
+        stats = written(stats, "term-stats") if keep else stats
         title_len = F.coalesce(F.size(text.tokens(F.col("title"), rich)), F.lit(0)).cast("long") if "title" in docs.columns else F.lit(0).cast("long")
-        return cls(titled, rows, tf, stats, titled.select("doc_id", title_len.alias("title_len"), "page_rank", "num_views"))
+        # Titles are measured before the joins, which then move no text.
+        sized = enriched(docs.select("doc_id", title_len.alias("title_len")), page_rank, views)
+        return cls(enriched(docs, page_rank, views), token_rows(docs, stem, rich), tf, stats, sized, counts, doc_postings(docs, stem, rich, repeat))
 
     def totals(self) -> DataFrame:
         """One row: documents, tokens and views of the corpus."""
         return self.docs.agg(F.count("*").alias("n_docs"), F.coalesce(F.sum("num_views"), F.lit(0)).alias("total_views")).join(self.term_stats.agg(F.coalesce(F.sum("cf"), F.lit(0)).alias("total_tf")))
 
-    def norms(self, of: DataFrame | None = None) -> DataFrame:
-        """Per document (of those in `of` only) its length and the norm of its tf-idf weights."""
-        rows = self.doc_tf.join(of, "doc_id", "left_semi") if of is not None else self.doc_tf
+    def weighted(self, counts: DataFrame) -> DataFrame:
+        """doc_id, term, idf and weight, tf over length times idf, of rows of counts. Each pair goes to its term's statistics once, which are the side that is held, so that the many are not sorted."""
         n = self.docs.agg(F.count("*").alias("n_docs"))
-        lengths = rows.groupBy("doc_id").agg(F.sum("tf").alias("doc_len"))
-        weight = F.col("tf") / F.col("doc_len") * F.ln(F.col("n_docs") / F.col("df"))
-        joined = rows.join(self.term_stats.select("term", "df"), "term").join(lengths, "doc_id").join(F.broadcast(n))
-        return joined.groupBy("doc_id").agg(F.first("doc_len").alias("doc_len"), F.sqrt(F.sum(weight * weight)).alias("norm"))
+        rows = counts.select("doc_id", "doc_len", F.inline("counts"))
+        joined = rows.join(self.term_stats.select("term", "df").hint("shuffle_hash"), "term").join(F.broadcast(n))
+        idf = F.ln(F.col("n_docs") / F.col("df"))
+        return joined.select("doc_id", "term", idf.alias("idf"), (F.col("tf") / F.col("doc_len") * idf).alias("weight"))
+
+    def norms(self, counts: DataFrame | None = None) -> DataFrame:
+        """Per document (of those rows of counts only) the norm of its tf-idf weights."""
+        rows = self.weighted(self.counts if counts is None else counts)
+        return rows.groupBy("doc_id").agg(F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("norm"))
 
     def save(self, path: str, parts: int = 64) -> None:
-        """Parquet tables; postings are sorted by term, so that a query's few terms prune row groups by their statistics."""
-        post = postings(self.tokens)
-        post.repartitionByRange(parts, "term").sortWithinPartitions("term", "doc_id").write.mode("overwrite").parquet(f"{path}/postings")
-        self.doc_tf.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "term").write.mode("overwrite").parquet(f"{path}/doc_tf")
-        self.term_stats.repartitionByRange(parts, "term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/term_stats")
+        """Parquet tables; postings are sorted by term, so that a query's few terms prune row groups by their statistics. Of large indexes there are more than `parts` parts, each small enough to be sorted in memory."""
+        self.counts.write.mode("overwrite").parquet(f"{path}/counts")
+        stats = term_stats(flat(self.docs.sparkSession.read.parquet(f"{path}/counts")))
+        stats.repartitionByRange(parts, "term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/term_stats")
+        rows = self.docs.sparkSession.read.parquet(f"{path}/term_stats").agg(F.sum("df")).first()[0] or 0
+        self.postings.repartitionByRange(max(parts, rows // PART_ROWS + 1), "term", "doc_id").sortWithinPartitions("term", "doc_id").write.mode("overwrite").parquet(f"{path}/postings")
         self.docs.write.mode("overwrite").parquet(f"{path}/docs")
         self.doc_stats.write.mode("overwrite").parquet(f"{path}/doc_stats")
 
     @classmethod
     def load(cls, spark: SparkSession, path: str) -> Index:
         read = lambda name: spark.read.parquet(f"{path}/{name}")
-        rows = read("postings").select("doc_id", "term", F.explode("positions").alias("pos"))
-        return cls(read("docs"), rows, read("doc_tf"), read("term_stats"), read("doc_stats"))
+        post = read("postings")
+        rows = post.select("doc_id", "term", F.explode("positions").alias("pos"))
+        return cls(read("docs"), rows, post.select("doc_id", "term", "tf"), read("term_stats"), read("doc_stats"), read("counts"), post)
 
     def lookup(self, terms: list[str]) -> DataFrame:
         """term, cf and df of the terms, 0 where unknown."""

@@ -21,6 +21,13 @@ def hits(index: Index, terms: list[str]) -> DataFrame:
     return index.doc_tf.where(F.col("term").isin(terms)).join(match_all(index.doc_tf, terms), "doc_id", "left_semi")
 
 
+def whole(index: Index, terms: list[str]) -> DataFrame:
+    """The rows of index.counts of the documents that hold every term; of none if there is no term. Told row by row."""
+    terms = list(dict.fromkeys(terms))
+    held = F.size(F.array_intersect(F.array(*map(F.lit, terms)), F.col("counts.term"))) == len(terms) if terms else F.lit(False)
+    return index.counts.where(F.col("doc_id").isNotNull() & held)
+
+
 def conjunctive(index: Index, terms: list[str], phrases: list[list[str]] = (), solo: list[str] | None = None) -> DataFrame:
     """The sum of tf; with phrases five times their occurrences, all of which must occur, and the tf of the other terms."""
     rows = hits(index, terms)
@@ -45,22 +52,20 @@ def cosine(index: Index, terms: list[str]) -> DataFrame:
     """tf-idf cosine: tf over length times ln(N / df) against query counts times ln(N / df); 0 where a norm is 0."""
     counts = weights(terms)
     spark = index.docs.sparkSession
-    n = index.docs.agg(F.count("*").alias("n_docs"))
-    asked = spark.createDataFrame(list(counts.items()), "term string, qtf int")
     # As many rows as the query has terms.
-    query = index.term_stats.where(F.col("term").isin(list(counts))).join(F.broadcast(asked), "term").join(F.broadcast(n)).select("term", (F.col("qtf") * F.ln(F.col("n_docs") / F.col("df"))).alias("wq"), F.ln(F.col("n_docs") / F.col("df")).alias("idf"))
-    joined = hits(index, list(counts)).join(F.broadcast(query), "term").join(index.norms(match_all(index.doc_tf, list(counts))), "doc_id")
-    summed = joined.groupBy("doc_id").agg(F.sum(F.col("tf") / F.col("doc_len") * F.col("idf") * F.col("wq")).alias("dot"), F.sum(F.col("wq") * F.col("wq")).alias("q2"), F.first("norm").alias("norm"))
+    asked = spark.createDataFrame(list(counts.items()), "term string, qtf int")
+    rows = index.weighted(whole(index, terms)).join(F.broadcast(asked), "term", "left")
+    wq = F.col("qtf") * F.col("idf")
+    summed = rows.groupBy("doc_id").agg(F.sum(F.col("weight") * wq).alias("dot"), F.sum(wq * wq).alias("q2"), F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("norm"))
     return summed.select("doc_id", F.coalesce(F.try_divide("dot", F.col("norm") * F.sqrt("q2")), F.lit(0.0)).alias("score"))
 
 
 def query_likelihood(index: Index, terms: list[str], smoothing: str = "jm", weight: float = 0.5) -> DataFrame:
     """exp of the sum of ln((1 - weight) tf / length + weight cf / C); with smoothing="none" the second part is 0."""
-    # Only the matched documents' lengths are summed.
-    lengths = index.doc_tf.join(match_all(index.doc_tf, terms).select("doc_id"), "doc_id", "left_semi").groupBy("doc_id").agg(F.sum("tf").alias("doc_len"))
     total = index.term_stats.agg(F.sum("cf").alias("total_tf"))
     stats = index.term_stats.where(F.col("term").isin(terms)).select("term", "cf")
-    joined = hits(index, terms).join(F.broadcast(stats), "term").join(lengths, "doc_id").join(F.broadcast(total))
+    met = whole(index, terms).select("doc_id", "doc_len", F.inline(F.filter("counts", lambda c: c["term"].isin(terms))))
+    joined = met.join(F.broadcast(stats), "term").join(F.broadcast(total))
     back = F.col("cf") / F.col("total_tf") if smoothing == "jm" else F.lit(0.0)
     return joined.groupBy("doc_id").agg(F.exp(F.sum(F.ln((1 - weight) * F.col("tf") / F.col("doc_len") + weight * back))).alias("score"))
 
@@ -120,17 +125,21 @@ def top(index: Index, scored: DataFrame, k: int, banded: bool = False) -> DataFr
 def batch_cosine(index: Index, queries: DataFrame, k: int) -> DataFrame:
     """queries(query_id, term), each term once: the k best documents by cosine of every query, with rank.
 
-    All queries run in one plan: their terms meet the rows of the index by an
-    equi-join, and a window keeps the best of each.
+    All queries run in one plan, from one broadcast row of their terms: which
+    documents some query matches in full is told row by row, and only those
+    documents' norms are made. A window keeps the best of each query.
     """
     n = index.docs.agg(F.count("*").alias("n_docs"))
-    sizes = queries.groupBy("query_id").agg(F.count("*").alias("terms"))
-    idf = queries.join(index.term_stats, "term").join(F.broadcast(n)).select("query_id", "term", F.ln(F.col("n_docs") / F.col("df")).alias("idf"))
-    met = index.doc_tf.join(idf, "term")
-    # Norms are those of documents that some query matches in full.
-    matched = met.groupBy("query_id", "doc_id").agg(F.count("*").alias("found")).join(sizes, "query_id").where("found = terms").select("doc_id").distinct()
-    rows = met.join(index.norms(matched), "doc_id")
-    summed = rows.groupBy("query_id", "doc_id").agg(F.count("*").alias("found"), F.sum(F.col("tf") / F.col("doc_len") * F.col("idf") * F.col("idf")).alias("dot"), F.sum(F.col("idf") * F.col("idf")).alias("q2"), F.first("norm").alias("norm"))
-    full = summed.join(sizes, "query_id").where("found = terms").select("query_id", "doc_id", F.coalesce(F.try_divide("dot", F.col("norm") * F.sqrt("q2")), F.lit(0.0)).alias("score"))
+    asked = queries.groupBy("query_id").agg(F.collect_list("term").alias("terms"))
+    listed = asked.agg(F.collect_list("terms").alias("asked")).select("asked", F.array_distinct(F.flatten("asked")).alias("any"))
+    # Of a document the terms that some query has, and of those queries the ones that miss none.
+    held = index.counts.join(F.broadcast(listed)).withColumn("held", F.array_intersect("any", F.col("counts.term")))
+    matched = held.where(F.col("doc_id").isNotNull() & F.exists("asked", lambda q: F.size(F.array_except(q, "held")) == 0))
+    met = matched.select("doc_id", "doc_len", F.inline(F.filter("counts", lambda c: F.array_contains("held", c["term"]))))
+    idf = queries.join(index.term_stats, "term").join(F.broadcast(n)).join(asked.select("query_id", F.size("terms").alias("terms")), "query_id").select("query_id", "term", "terms", F.ln(F.col("n_docs") / F.col("df")).alias("idf"))
+    # As many rows as the queries have terms.
+    rows = met.join(F.broadcast(idf), "term")
+    summed = rows.groupBy("query_id", "doc_id").agg(F.count("*").alias("found"), F.first("terms").alias("terms"), F.sum(F.col("tf") / F.col("doc_len") * F.col("idf") * F.col("idf")).alias("dot"), F.sum(F.col("idf") * F.col("idf")).alias("q2"))
+    full = summed.where("found = terms").join(index.norms(matched), "doc_id").select("query_id", "doc_id", F.coalesce(F.try_divide("dot", F.col("norm") * F.sqrt("q2")), F.lit(0.0)).alias("score"))
     ranked = full.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")).cast("long"))
     return ranked.where(F.col("rank") <= k)
