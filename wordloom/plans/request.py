@@ -95,15 +95,18 @@ def search(index: Index, request: SearchRequest, buckets: DataFrame | None = Non
         raise ValueError("the query is empty")
     spark = index.docs.sparkSession
     query, corrected = analyse(spark, request.query), None
-    best = rank.top(index, score(index, request.ranker, query, buckets), request.num)
-    if request.checker != "none" and best.isEmpty():
+    # At most `num` rows, made once: the documents are then picked by their ids, in front of the joins that enrich them.
+    ranked = lambda q: rank.top(index, score(index, request.ranker, q, buckets), request.num)
+    held = (best := ranked(query)).collect()
+    if request.checker != "none" and not held:
         fixes = {r["wrong"]: r["term"] for r in corrections(index, query.terms, request.checker).collect()}
         if fixes:
             swap = lambda ts: [fixes.get(t, t) for t in ts]
             query = ParsedQuery(list(dict.fromkeys(swap(query.terms))), [swap(p) for p in query.phrases], swap(query.solo))
             corrected = " ".join(query.terms)
-            best = rank.top(index, score(index, request.ranker, query, buckets), request.num)
-    named = best.join(index.docs.drop("page_rank", "num_views"), "doc_id")
+            held = (best := ranked(query)).collect()
+    found = index.docs.where(F.col("doc_id").isin([r["doc_id"] for r in held])).drop("page_rank", "num_views")
+    named = F.broadcast(spark.createDataFrame(held, best.schema)).join(found, "doc_id")
     named = named.withColumn("rank", F.row_number().over(Window.orderBy(*rank.ordering())))
     if "url" not in named.columns:
         named = named.withColumn("url", F.lit(None).cast("string"))
