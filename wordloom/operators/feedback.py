@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from wordloom.functions import text
+from wordloom.operators.graph import written
 
 
 def expand(doc_tf: DataFrame, top_docs: DataFrame, query_terms: list[str], num_terms: int) -> DataFrame:
@@ -13,14 +14,15 @@ def expand(doc_tf: DataFrame, top_docs: DataFrame, query_terms: list[str], num_t
 
     Ties go to the term that sorts first; no term left gives no row.
     """
-    rows = doc_tf.join(top_docs.select("doc_id"), "doc_id", "left_semi").where(~text.is_stop_word(F.col("term")) & ~F.col("term").isin(query_terms))
+    # Written, so that the few documents' size is known, and the corpus is not shuffled to meet them.
+    rows = doc_tf.join(written(top_docs.select("doc_id"), "top-docs"), "doc_id", "left_semi").where(~text.is_stop_word(F.col("term")) & ~F.col("term").isin(query_terms))
     best = rows.groupBy("term").agg(F.sum("tf").alias("frequency")).orderBy(F.desc("frequency"), "term").limit(num_terms)
     return best.select("term", "frequency", (F.col("frequency") / F.sum("frequency").over(Window.partitionBy())).alias("prf"))
 
 
 def expand_batch(doc_tf: DataFrame, top_docs: DataFrame, query_terms: DataFrame, num_terms: int) -> DataFrame:
     """top_docs(query, doc_id), query_terms(query, term): query, term, frequency, prf for all queries in one plan."""
-    rows = top_docs.join(doc_tf, "doc_id").where(~text.is_stop_word(F.col("term"))).join(query_terms, ["query", "term"], "left_anti")
+    rows = written(top_docs.select("query", "doc_id"), "top-docs").join(doc_tf, "doc_id").where(~text.is_stop_word(F.col("term"))).join(query_terms, ["query", "term"], "left_anti")
     counts = rows.groupBy("query", "term").agg(F.sum("tf").alias("frequency"))
     rank = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("frequency"), "term"))
     best = counts.withColumn("__r", rank).where(F.col("__r") <= num_terms)
