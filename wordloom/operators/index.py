@@ -19,6 +19,7 @@ from wordloom.operators.graph import written
 
 #: Postings in a part of a saved index.
 PART_ROWS = 2_000_000
+ROW_GROUP = 4 << 20
 
 
 def _tokens_of(docs: DataFrame, rich: bool) -> Column:
@@ -189,12 +190,18 @@ class Index:
         return rows.groupBy("doc_id").agg(F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("norm"))
 
     def save(self, path: str, parts: int = 64) -> None:
-        """Parquet tables; postings are sorted by term, so that a query's few terms prune row groups by their statistics. Of large indexes there are more than `parts` parts, each small enough to be sorted in memory."""
+        """Parquet tables; postings are dealt by term and sorted by it in each part, so that a query's few terms prune row groups and pages by their statistics.
+
+        Ranges of terms would take a pass of their own to be found, which makes all
+        postings twice. Of large indexes there are more than `parts` parts, each small
+        enough to be sorted in memory; a term of very many documents is in several.
+        """
         self.counts.write.mode("overwrite").parquet(f"{path}/counts")
         stats = term_stats(flat(self.docs.sparkSession.read.parquet(f"{path}/counts")))
         stats.repartitionByRange(parts, "term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/term_stats")
-        rows = self.docs.sparkSession.read.parquet(f"{path}/term_stats").agg(F.sum("df")).first()[0] or 0
-        self.postings.repartitionByRange(max(parts, rows // PART_ROWS + 1), "term", "doc_id").sortWithinPartitions("term", "doc_id").write.mode("overwrite").parquet(f"{path}/postings")
+        rows, most = (x or 0 for x in self.docs.sparkSession.read.parquet(f"{path}/term_stats").agg(F.sum("df"), F.max("df")).first())
+        dealt = self.postings.repartition(max(parts, rows // PART_ROWS + 1), "term", F.pmod(F.xxhash64("doc_id"), F.lit(most // PART_ROWS + 1)))
+        dealt.sortWithinPartitions("term", "doc_id").write.mode("overwrite").option("parquet.block.size", ROW_GROUP).parquet(f"{path}/postings")
         self.docs.write.mode("overwrite").parquet(f"{path}/docs")
         self.doc_stats.write.mode("overwrite").parquet(f"{path}/doc_stats")
 
