@@ -20,7 +20,10 @@ def within(words: DataFrame, vocabulary: DataFrame, most: int = 2) -> DataFrame:
     dealt = lambda x, salt: F.when(x == "", F.concat(F.lit("\x00"), salt.cast("string"))).otherwise(x)
     salts = F.when(F.length("w") <= most, F.transform(F.sequence(F.lit(0), F.lit(deals - 1)), lambda k: F.concat(F.lit("\x00"), k.cast("string")))).otherwise(F.array().cast("array<string>"))
     left = words.select(F.col("wrong").alias("w")).distinct().select("w", F.explode(F.transform(keys, lambda x: dealt(x, F.pmod(F.xxhash64("w"), F.lit(deals))))).alias("key")).withColumnRenamed("w", "wrong")
-    right = vocabulary.select(F.col("term").alias("w")).distinct().select("w", F.explode(F.concat(F.filter(keys, lambda x: x != ""), salts)).alias("key")).withColumnRenamed("w", "term")
+    # Words of no asked length are not expanded. As many rows as there are lengths.
+    lengths = words.select(F.explode(F.sequence(F.length("wrong") - most, F.length("wrong") + most)).alias("__n")).distinct()
+    known = vocabulary.select(F.col("term").alias("w")).distinct()
+    right = known.join(F.broadcast(lengths), F.length("w") == F.col("__n"), "left_semi").select("w", F.explode(F.concat(F.filter(keys, lambda x: x != ""), salts)).alias("key")).withColumnRenamed("w", "term")
     pairs = left.join(right, "key").where(F.abs(F.length("wrong") - F.length("term")) <= most).select("wrong", "term").distinct()
     return pairs.withColumn("distance", distance.dl_distance("wrong", "term")).where(F.col("distance") <= most)
 
